@@ -42,3 +42,25 @@ def let(value: Column, body) -> Column:
 def row_key(id_col: str, text_col: str) -> Column:
     """Key of a row by its id and text. Rows alike in both are one document, whatever their number."""
     return F.md5(F.concat_ws("\x00", F.coalesce(F.col(id_col).cast("string"), F.lit("\x01")), F.coalesce(F.col(text_col), F.lit("\x02"))).cast("binary"))
+
+
+#: A key is hot when it holds more than this share of the rows; so fewer than its inverse are.
+HOT_SHARE = 1000
+HOT_LEAST = 100
+
+
+def join_one(many: DataFrame, one: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
+    """many joined with one, which has one row a key and in ``count`` how many rows of many have it.
+
+    Keys above a thousandth of all rows cannot be more than a thousand: their rows of
+    one are broadcast, and the hot rows of many stay where they are. The rest is
+    shuffled by a key that is not hot. how: inner or left.
+    """
+    hot = F.col(count) > max(HOT_LEAST, total // HOT_SHARE)
+    heavy, rest = one.where(hot), one.where(~hot)
+    here = F.broadcast(heavy)
+    inner = many.join(here, key).unionByName(many.join(rest, key))
+    if how == "inner":
+        return inner
+    light = many.join(F.broadcast(heavy.select(key)), key, "left_anti")
+    return many.join(here, key).unionByName(light.join(rest, key, "left"))
