@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from weftline.llm import ngram_join, quality_rules, secret_scan, spm_codec, suffix_dedup, url_filter
+from weftline.llm import line_dedup, ngram_join, quality_rules, secret_scan, spm_codec, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_secret_scans": secret_scan.op1_secret_scans,
     "op2_sentencepiece": spm_codec.op2_sentencepiece,
+    "op3_substring_dedup": line_dedup.op3_substring_dedup,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_url_filters": url_filter.op5_url_filters,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_ngram_join": ngram_join.op10_ngram_join,
 }
 ORACLES = {
+    "op3_substring_dedup": line_dedup.ORACLE,
     "op5_url_filters": url_filter.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
 }
