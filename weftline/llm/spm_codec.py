@@ -3,8 +3,9 @@
 The model file's protobuf is parsed here, field by field, and an equal tokenizer is
 rebuilt: normaliser (character map, white-space rules, dummy prefix), metaspace
 marker, unigram scores or pair merges in score order, byte fallback, decoder.
-Batches are encoded by several threads. Every text is also encoded by the
-sentencepiece library; where the two differ (pieces of equal score can be merged in
+Batches are encoded by several threads. Every text (or, where
+no piece goes beyond a word, every distinct word) is also encoded by the sentencepiece
+library; where the two differ (pieces of equal score can be merged in
 another order) the library's ids are taken, and the row says so.
 
 Defined results: a null text is encoded as an empty one (no ids, decoded to empty);
@@ -35,8 +36,8 @@ MARK = "▁"
 #: Characters that are encoded in one call: bounds a worker's memory whatever the batch.
 CHUNK_CHARS = 400_000
 THREADS = 2
-#: Words whose ids a worker keeps (about 150 bytes each).
-CACHE_WORDS = 200_000
+#: Words whose ids a worker keeps (about 200 bytes each), and words that are encoded in one call.
+KEPT_WORDS, CHUNK_WORDS = 600_000, 20_000
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -124,7 +125,7 @@ def rebuild(model: dict):
     if model["kind"] == BPE:
         own = {p: (-s, i) for i, (p, s, kind) in enumerate(pieces) if kind in (NORMAL, USER)}
         ranked = sorted((own[p], at, p) for p in own for at in range(1, len(p)) if p[:at] in own and p[at:] in own)
-        core = models.BPE(vocab=ids, merges=[(p[:at], p[at:]) for _, at, p in ranked], unk_token=pieces[model["unk_id"]][0], fuse_unk=True, byte_fallback=model["byte_fallback"], cache_capacity=CACHE_WORDS)
+        core = models.BPE(vocab=ids, merges=[(p[:at], p[at:]) for _, at, p in ranked], unk_token=pieces[model["unk_id"]][0], fuse_unk=True, byte_fallback=model["byte_fallback"])
     else:
         core = models.Unigram([(p, s if kind in (NORMAL, USER, BYTE) else -1e9) for p, s, kind in pieces], model["unk_id"], model["byte_fallback"])
     tok = Tokenizer(core)
@@ -144,12 +145,18 @@ def rebuild(model: dict):
 
 
 class Codec:
-    """Both libraries' encoders of one model; one a worker."""
+    """Both libraries' encoders of one model; one a worker.
+
+    Where no piece goes on from a word into the next, a text's ids are its words' ids in
+    a row, in either library. Then each distinct word is encoded, compared and kept, and
+    texts are put together from the kept ids; otherwise whole texts go to both libraries.
+    """
 
     kept: dict[str, Codec] = {}
 
     def __init__(self, data: bytes, threads: int = THREADS):
         import sentencepiece
+        from tokenizers import Tokenizer
 
         # The thread pool of the tokenizers library reads these when it is first used.
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
@@ -158,6 +165,15 @@ class Codec:
         self.tok, self.threads = rebuild(model), threads
         self.model = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.bytes = np.array([kind == BYTE for _, _, kind in model["pieces"]])
+        self.raw = [bytes([int(p[1:-1], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in model["pieces"]]
+        # The model alone, for words that are normalised already.
+        self.core = Tokenizer(self.tok.model)
+        # A line feed that is in no piece but its own parts words as well.
+        inside = any("\n" in p and len(p) > 1 for p, _, kind in model["pieces"] if kind in (NORMAL, USER))
+        self.by_word = words_are_apart(model) and model["dummy_prefix"] and not model["squeeze"] and not model["charsmap"] and not inside
+        self.words = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
+        self.ids: dict[str, bytes] = {}
+        self.odd: set[str] = set()
 
     @classmethod
     def of(cls, data: bytes) -> Codec:
@@ -166,15 +182,39 @@ class Codec:
             cls.kept[key] = cls(data)
         return cls.kept[key]
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
+    def _learn(self, words: list[str]) -> None:
+        """Encode words by both libraries and keep the ids; those that differ are odd."""
+        for k in range(0, len(words), CHUNK_WORDS):
+            some = words[k : k + CHUNK_WORDS]
+            got = [e.ids for e in self.core.encode_batch_fast(some, add_special_tokens=False)]
+            # The library sets a marker before its text: the word's own first one, or one that a line feed keeps off the word.
+            asked = [w[1:].replace(MARK, " ") + "\n" if w[0] == MARK else "\n" + w for w in some]
+            want = [ids[:-1] if w[0] == MARK else ids[2:] for w, ids in zip(some, self.model.encode(asked, num_threads=self.threads), strict=True)]
+            self.odd.update(w for w, a, b in zip(some, got, want, strict=True) if a != b)
+            self.ids.update((w, struct.pack(f"<{len(x)}i", *x)) for w, x in zip(some, want, strict=True))
+
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
         """ids of each text, and whether the rebuilt tokenizer gave the library's own ids."""
-        ids = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-        want = self.model.encode(texts, num_threads=self.threads)
-        return want, [a == b for a, b in zip(ids, want, strict=True)]
+        if not self.by_word:
+            ids = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+            want = self.model.encode(texts, num_threads=self.threads)
+            return [np.asarray(x, "<i4") for x in want], [a == b for a, b in zip(ids, want, strict=True)]
+        parts = [self.words.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        if len(self.ids) > KEPT_WORDS:
+            self.ids.clear()
+            self.odd.clear()
+        if new := set().union(*parts).difference(self.ids):
+            self._learn(sorted(new))
+        ids = [np.frombuffer(b"".join(map(self.ids.__getitem__, p)), "<i4") for p in parts]
+        return ids, [not self.odd or self.odd.isdisjoint(p) for p in parts]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tok.decode_batch(ids, skip_special_tokens=False)
 
+    def spelled(self, ids: np.ndarray) -> str:
+        """The text of the ids by the pieces' own bytes, as the decoder puts them together."""
+        return b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
+
 
 def chunks(texts: list[str], most: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of at most so many characters, or one text."""
@@ -209,18 +249,17 @@ def encode(df: DataFrame, text_col: str = "text", model_path: str = MODEL_PATH,
             for a, b in chunks(texts):
                 own = texts[a:b]
                 ids, same = codec.encode(own)
-                flat = [np.asarray(x, dtype="<i4") for x in ids]
-                back = codec.decode(ids)
+                back = [codec.spelled(x) for x in ids] if codec.by_word else codec.decode([x.tolist() for x in ids])
                 cols = {
-                    "n_tokens": pa.array([len(x) for x in flat], pa.int64()),
-                    "n_byte_tokens": pa.array([int(codec.bytes[x].sum()) for x in flat], pa.int64()),
-                    "ids_sha256": pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in flat], pa.string()),
+                    "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
+                    "n_byte_tokens": pa.array([int(codec.bytes[x].sum()) for x in ids], pa.int64()),
+                    "ids_sha256": pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids], pa.string()),
                     "parity": pa.array(same, pa.bool_()),
                     "round_trip": pa.array([x == y for x, y in zip(back, own, strict=True)], pa.bool_()),
                 }
                 if with_text:
-                    ends = np.cumsum([0, *map(len, flat)], dtype="<i4")
-                    cols["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat)))
+                    ends = np.cumsum([0, *map(len, ids)], dtype="<i4")
+                    cols["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
                 kept = [batch.column(batch.schema.get_field_index(n)).slice(a, b - a) for n in names]
                 yield pa.RecordBatch.from_arrays([*kept, *cols.values()], [*names, *cols])
 
