@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import decontaminate, line_dedup, ngram_join, quality_rules, secret_scan, spm_codec, suffix_dedup, url_filter
+from weftline.llm import decontaminate, line_dedup, ngram_join, quality_classifier, quality_rules, secret_scan, spm_codec, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_secret_scans": secret_scan.op1_secret_scans,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_substring_dedup": line_dedup.op3_substring_dedup,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_url_filters": url_filter.op5_url_filters,
+    "op6_quality_classifier": quality_classifier.op6_quality_classifier,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_ngram_join": ngram_join.op10_ngram_join,
