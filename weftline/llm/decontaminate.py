@@ -163,14 +163,26 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
     return spark.createDataFrame([], SCHEMA) if out is None else out
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
-    """docs without the contaminated rows (null ids are kept apart by text). Few keys are expected; they are joined, not collected."""
-    from weftline.llm.common import row_key
-
-    keyed = docs.withColumn("_key", row_key(options.get("id_col", "doc_id"), options.get("text_col", "text")))
-    numbered = keyed.select(F.xxhash64("_key").alias("_n"), F.col(options.get("text_col", "text")).alias("_text"))
-    hit = contaminated(numbered, bench, **(options | {"id_col": "_n", "text_col": "_text"})).select(F.col("doc_id").alias("_n")).distinct()
-    return keyed.withColumn("_n", F.xxhash64("_key")).join(hit, "_n", "left_anti").select(*(f"`{c}`" for c in docs.columns))
+def decontaminate(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", coverage: float = COVERAGE, seed: int = SEED, least: int = MIN_TILE, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """docs without the contaminated rows: a filter for each block of items, so no row is moved."""
+    names, schema = docs.columns, docs.schema
+    at_text = names.index(text_col)
+    for items in _blocks(bench, item_id_col, item_text_col, block_tokens):
+        held = docs.sparkSession.sparkContext.broadcast(Block(items, seed))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            block = held.value
+            get = block.vocab.get
+            for whole in batches:
+                for at in range(0, whole.num_rows, 1000):
+                    batch, clean = whole.slice(at, 1000), []
+                    for text in batch.column(at_text).cast(pa.large_binary()).to_pylist():
+                        ids = np.array([get(w, 0) for w in words_of(text)], np.uint64)
+                        clean.append(all(sum(n for _, _, n in tiles(ids, block.items[k], least)) < coverage * len(block.items[k]) for k in block.candidates(ids)))
+                    yield batch.filter(pa.array(clean, pa.bool_()))
+
+        docs = docs.mapInArrow(run, schema)
+    return docs
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,22 +21,27 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import join_one, materialise, table
+from weftline.llm.common import SPACE, join_one, materialise, table
 from weftline.llm.components import components
 
 WORDS = 5
 #: Similarity in hundredths.
 SIMILAR = 80
 #: Lists up to this length are joined pair by pair.
-SHORT = 64
+SHORT = 128
 #: Tokens that are ordered last: the most frequent ones, at most so many (8 bytes each); the result is the same for any choice.
 COMMON = 1_000_000
+#: One token in so many (a power of two) is counted to see what is common; NEAR tokens before and after one that is are counted next.
+SEEDS, NEAR = 8, 32
+#: Rows of a batch that have a token for it to be counted as well, seed or not (short common lines may have no seed).
+OFTEN = 3
+#: Passes over the index lists at most: one more each time many sets meet at common tokens that were missed.
+TURNS = 3
 #: Classes with more copies than this, at most so many of them, are known to the workers, which pass over all copies but one.
 COPIES, COPIED = 16, 100_000
 #: Shingles (and members) of a long list that are compared in one task.
@@ -58,7 +63,7 @@ class Memo(dict):
 
 
 def shingles(text: bytes, memo: Memo, n: int = WORDS) -> np.ndarray:
-    """Sorted distinct shingle hashes of a text (bytes.split and bytes.lower treat ASCII alone, as the words are defined)."""
+    """Shingle hashes of a text in its order (bytes.split and bytes.lower treat ASCII alone, as the words are defined)."""
     words = text.lower().split()
     if not words:
         return np.empty(0, np.int64)
@@ -70,7 +75,7 @@ def shingles(text: bytes, memo: Memo, n: int = WORDS) -> np.ndarray:
         s *= K
         s += h[k : len(h) - n + 1 + k]
     s ^= s >> np.uint64(29)
-    return np.unique(s.view(np.int64))
+    return s.view(np.int64)
 
 
 def prefix_len(n: int, similar: int = SIMILAR) -> int:
@@ -104,7 +109,7 @@ def _member(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _map_sets(docs: DataFrame, schema: str, one, n: int, rows: int = 2000) -> DataFrame:
-    """one(key, set) -> a tuple of the schema's values, or None; over docs (_id, _key, _text)."""
+    """one(id, key, shingles) -> a tuple of the schema's values, or None; over docs (_id, _key, _text, further columns: passed as a tuple)."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +118,11 @@ def _map_sets(docs: DataFrame, schema: str, one, n: int, rows: int = 2000) -> Da
             for at in range(0, whole.num_rows, rows):
                 batch = whole.slice(at, rows)
                 ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                out = [x for i, k, t in zip(ids, keys, _texts(batch), strict=True) if (x := one(i, k, shingles(t, memo, n))) is not None]
+                out = []
+                for i, k, t in zip(ids, keys, _texts(batch), strict=True):
+                    x = one(i, k, shingles(t, memo, n))
+                    if x is not None:
+                        out.append(x)
                 cols = list(zip(*out, strict=True)) if out else [[] for _ in names]
                 kinds = {"array<bigint>": _lists, "bigint": lambda v: pa.array(v, pa.int64()), "int": lambda v: pa.array(v, pa.int32()), "binary": lambda v: pa.array(v, pa.binary())}
                 yield pa.RecordBatch.from_arrays([kinds[c.split()[1]](list(v)) for c, v in zip(schema.split(", "), cols, strict=True)], names)
@@ -121,13 +130,41 @@ def _map_sets(docs: DataFrame, schema: str, one, n: int, rows: int = 2000) -> Da
     return docs.select("_id", "_key", "_text").mapInArrow(run, schema)
 
 
+def _described(words: int):
+    """A map over docs (_id, _key, _text): each row's class, size, signature and seeds; and, in a last row of each batch (n = -1), the tokens that OFTEN of its rows have."""
+    names = ["_id", "_key", "sid", "n", "sig", "seeds", "often", "times"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Memo()
+        for whole in batches:
+            every, held = [], 0
+            for at in range(0, whole.num_rows, 2000):
+                batch, rows, seeds = whole.slice(at, 2000), [], []
+                for i, k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch), strict=True):
+                    s = np.unique(shingles(t, memo, words))
+                    every.append(s)
+                    held += len(s)
+                    seeds.append(s[s & (SEEDS - 1) == 0])
+                    rows.append((i, k, _sid(s), len(s), signature(s)) if len(s) else (i, k, None, 0, None))
+                cols = [pa.array([r[c] for r in rows], kinds[c]) for c in range(5)]
+                yield pa.RecordBatch.from_arrays([*cols, _lists(seeds), *(pa.array([None] * len(rows), kind) for kind in kinds[6:])], names)
+                if held > BLOCK_TOKENS * 4 or at + 2000 >= whole.num_rows:
+                    token, times = np.unique(np.concatenate(every), return_counts=True)
+                    often = times >= OFTEN
+                    yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip((None, None, None, -1, None, None, token[often].tolist(), times[often].tolist()), kinds, strict=True)], names)
+                    every, held = [], 0
+
+    return run
+
+
 def _sid(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
 def _common(tokens: DataFrame) -> np.ndarray:
-    """Tokens of more than SHORT rows, the COMMON most frequent at most, sorted."""
-    counted = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > SHORT).orderBy(F.desc("c"), "t").limit(COMMON)
+    """Tokens (t, c) of more than SHORT rows, the COMMON most frequent at most, sorted."""
+    counted = tokens.groupBy("t").agg(F.sum("c").alias("c")).where(F.col("c") > SHORT).orderBy(F.desc("c"), "t").limit(COMMON)
     return np.sort(counted.select("t").toPandas()["t"].to_numpy(np.int64))
 
 
@@ -210,81 +247,131 @@ def connect(sets: list[np.ndarray], ask: list[bool], similar: int) -> list[tuple
 
 
 def _links_in_blocks(rows: DataFrame, keys: list[str], similar: int) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ask", "sid"], ascending=[False, True], kind="stable").drop_duplicates("sid")
-        sid = pdf["sid"].tolist()
-        links = connect([np.asarray(t, np.int64) for t in pdf["tokens"]], pdf["ask"].tolist(), similar) if len(sid) > 1 else []
-        return pd.DataFrame({"a": [sid[x] for x, _ in links], "b": [sid[y] for _, y in links]}, dtype="int64")
-
-    return rows.select(*keys, "sid", "ask", "tokens").groupBy(*keys).applyInPandas(run, "a bigint, b bigint")
+    """Links within each group of rows (keys, sid, ask, tokens), a group at a time."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(group: dict[int, tuple[bool, np.ndarray]]) -> list[tuple[int, int]]:
+            sid = list(group)
+            if len(sid) < 2:
+                return []
+            return [(sid[x], sid[y]) for x, y in connect([group[i][1] for i in sid], [group[i][0] for i in sid], similar)]
 
-def _long_lists(lists: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
-    """Links that connect the classes of long lists: lists (t, sid, n), sets (sid, tokens).
-
-    A list is dealt into blocks of bounded size, each connected in a task. Where a list
+        now, group, out = None, {}, []
+        for batch in batches:
+            keyed = list(zip(*(batch.column(k).to_pylist() for k in range(len(keys))), strict=True))
+            sid, ask = batch.column(len(keys)).to_pylist(), batch.column(len(keys) + 1).to_pylist()
+            lists = batch.column(len(keys) + 2)
+            for k, key in enumerate(keyed):
+                if key != now:
+                    out += done(group)
+                    now, group = key, {}
+                if sid[k] not in group or ask[k]:
+                    group[sid[k]] = (ask[k], lists[k].values.to_numpy(zero_copy_only=False))
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], ["a", "b"])
+                out = []
+        out += done(group)
+        yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], ["a", "b"])
+
+    return rows.select(*keys, "sid", "ask", "tokens").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint")
+
+
+def _with_tokens(own: DataFrame, asked: DataFrame, words: int) -> DataFrame:
+    """asked (rep, further columns) with sid and tokens, the whole sets, from the documents that stand for the classes."""
+    asked = materialise(asked.withColumnRenamed("rep", "_key"), "asked")
+    keys = asked.select("_key").distinct()
+    small = asked.count() <= BROADCAST_KEYS
+    chosen = own.join(F.broadcast(keys) if small else keys, "_key", "left_semi")
+    sets = _map_sets(chosen, "_key bigint, tokens array<bigint>", lambda i, key, flow: (key, np.unique(flow)), words)
+    return sets.join(F.broadcast(asked) if small else asked, "_key")
+
+
+def _links_in_clusters(own: DataFrame, members: DataFrame, words: int, similar: int) -> DataFrame:
+    """Links that connect the similar classes of each cluster: members (t, sid, n, rep).
+
+    A cluster is dealt into blocks of bounded size, each connected in a task. Where it
     has several blocks, every set outside its largest component is then compared with
     all blocks, so no pair is left out and none within a component is asked.
     """
-    sizes = lists.groupBy("t").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_TOKENS), F.ceil(F.count(F.lit(1)) / BLOCK_SETS)).cast("int").alias("k"), F.count(F.lit(1)).alias("c"))
-    lists = materialise(join_one(lists, sizes, "t", "c", lists.count()).withColumn("block", F.pmod(F.xxhash64("sid", "t"), F.col("k")).cast("int")), "long")
-    links = materialise(_links_in_blocks(lists.withColumn("ask", F.lit(True)).join(sets.select("sid", "tokens"), "sid"), ["t", "block"], similar), "links")
-    parted = lists.where("k > 1")
+    blocks = F.greatest(F.ceil(F.sum("n") / BLOCK_TOKENS), F.ceil(F.count(F.lit(1)) / BLOCK_SETS)).cast("int")
+    sizes = materialise(members.groupBy("t").agg(blocks.alias("k"), F.count(F.lit(1)).alias("c")), "sizes")
+    members = materialise(join_one(members, sizes, "t", "c", members.count()).withColumn("block", F.pmod(F.xxhash64("sid", "t"), F.col("k")).cast("int")), "members")
+    first = _with_tokens(own, members.select("rep", "sid", "t", "block", F.lit(True).alias("ask")), words)
+    links = materialise(_links_in_blocks(first, ["t", "block"], similar), "links")
+    parted = members.where("k > 1")
     if parted.isEmpty():
         return links
     label = components(links)
-    parted = parted.join(label.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    largest = parted.groupBy("t", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("t").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
-    parted = materialise(parted.join(F.broadcast(largest) if largest.count() <= BROADCAST_KEYS else largest, "t"), "parted")
+    parted = parted.drop("c").join(label.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    parted = materialise(parted, "parted")
+    largest = parted.groupBy("t", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("t").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.sum("m").alias("c"))
+    total = parted.count()
+    parted = materialise(join_one(parted, materialise(largest, "largest"), "t", "c", total).drop("c"), "sided")
     apart = parted.where("component <> main")
-    asked = apart.groupBy("t").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_TOKENS), F.ceil(F.count(F.lit(1)) / BLOCK_SETS)).cast("int").alias("ku"))
-    ask = apart.join(asked, "t").select("t", "sid", F.pmod(F.xxhash64("t", "sid"), F.col("ku")).cast("int").alias("u"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("block"), F.lit(True).alias("ask"))
-    told = parted.join(asked, "t").select("t", "sid", F.explode(F.sequence(F.lit(0), F.col("ku") - 1)).alias("u"), "block", F.lit(False).alias("ask"))
-    more = _links_in_blocks(ask.unionByName(told).join(sets.select("sid", "tokens"), "sid"), ["t", "u", "block"], similar)
+    asked = materialise(apart.groupBy("t").agg(blocks.alias("ku"), F.lit(total).alias("c")), "apart")
+    each = join_one(parted, asked, "t", "c", total)
+    ask = each.where("component <> main").select("rep", "sid", "t", F.pmod(F.xxhash64("t", "sid"), F.col("ku")).cast("int").alias("u"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("block"), F.lit(True).alias("ask"))
+    told = each.select("rep", "sid", "t", F.explode(F.sequence(F.lit(0), F.col("ku") - 1)).alias("u"), "block", F.lit(False).alias("ask"))
+    more = _links_in_blocks(_with_tokens(own, ask.unionByName(told), words), ["t", "u", "block"], similar)
     return links.unionByName(materialise(more, "more"))
 
 
+def _lists_of(own: DataFrame, common: np.ndarray, held, words: int, similar: int) -> DataFrame:
+    """Index lists of two members and more: t, sid, n, pos, m (members); common tokens are last in the order of all sets."""
+    last = own.sparkSession.sparkContext.broadcast(common)
+
+    def prefixed(i, key, flow):
+        s = np.unique(flow)
+        if not len(s) or held.value.get(sid := _sid(s), key) != key:
+            return None
+        hot = _member(last.value, s)
+        return sid, len(s), np.concatenate([s[~hot], s[hot]])[: prefix_len(len(s), similar)]
+
+    listed = _map_sets(own, "sid bigint, n int, prefix array<bigint>", prefixed, words).select("sid", "n", F.posexplode("prefix").alias("pos", "t"))
+    by_token = listed.repartition("t").dropDuplicates(["t", "sid"])
+    return by_token.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("t"))).where("m > 1")
+
+
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
-    """A row for each document: id, n_shingles, component_id (least id reachable by links), class_id (equal sets)."""
+    """A row for each document: id, n_shingles, component_id (least id reachable by links), class_id (equal sets), group_id (linked classes), _key (of the row)."""
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_key"), F.col(text_col).alias("_text"))
 
-    def described(i, key, s):
-        if not len(s):
-            return i, key, None, 0, None, np.empty(0, np.int64)
-        return i, key, _sid(s), len(s), signature(s), s[: prefix_len(len(s), similar)]
-
-    every = materialise(_map_sets(own, "_id bigint, _key bigint, sid bigint, n int, sig binary, prefix array<bigint>", described, words), "sets")
+    schema = "_id bigint, _key bigint, sid bigint, n int, sig binary, seeds array<bigint>, often array<bigint>, times array<int>"
+    told = materialise(own.mapInArrow(_described(words), schema), "sets")
+    every = told.where("n >= 0")
     some = every.where("sid is not null")
     classes = materialise(some.groupBy("sid").agg(F.min("_key").alias("rep"), F.count(F.lit(1)).alias("c"), F.min("_id").alias("least"), F.first("n").alias("n")), "classes")
     copied = classes.where(F.col("c") > COPIES).orderBy(F.desc("c"), "sid").limit(COPIED).select("sid", "rep")
     rep = {r.sid: r.rep for r in copied.collect()}
     held = spark.sparkContext.broadcast(rep)
 
-    # Which tokens are common: first those of the prefixes, then all tokens of the sets that have one of them.
+    # Which tokens are common: first among the seeds of all sets, then among all tokens that stand near a common seed.
     first = some.join(F.broadcast(copied), "sid", "left").where("rep is null or rep = _key")
-    common = _common(first.select(F.explode("prefix").alias("t")))
+    often = told.where("n < 0").select(F.inline(F.arrays_zip("often", "times"))).select(F.col("often").alias("t"), F.col("times").cast("long").alias("c"))
+    common = np.union1d(_common(first.select(F.explode("seeds").alias("t"), F.lit(1).cast("long").alias("c"))), _common(often))[:COMMON]
     if len(common):
         seen = spark.sparkContext.broadcast(common)
 
-        def involved(i, key, s):
-            if not len(s) or held.value.get(sid := _sid(s), key) != key or not _member(seen.value, s[: prefix_len(len(s), similar)]).any():
+        def involved(i, key, flow):
+            at = np.flatnonzero(_member(seen.value, flow))
+            if not len(at) or held.value.get(_sid(np.unique(flow)), key) != key:
                 return None
-            return sid, s
-
-        common = np.union1d(common, _common(_map_sets(own, "sid bigint, s array<bigint>", involved, words).select(F.explode("s").alias("t"))))[:COMMON]
-    late = spark.sparkContext.broadcast(common)
-
-    def prefixed(i, key, s):
-        if not len(s) or held.value.get(sid := _sid(s), key) != key:
-            return None
-        hot = _member(late.value, s)
-        return sid, len(s), np.concatenate([s[~hot], s[hot]])[: prefix_len(len(s), similar)]
-
-    listed = _map_sets(own, "sid bigint, n int, prefix array<bigint>", prefixed, words).select("sid", "n", F.posexplode("prefix").alias("pos", "t"))
-    by_token = listed.repartition("t").dropDuplicates(["t", "sid"])
-
-    lists = materialise(by_token.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("t"))).where("m > 1"), "lists")
+            edge = np.zeros(len(flow) + 1, np.int64)
+            np.add.at(edge, np.maximum(at - NEAR, 0), 1)
+            np.add.at(edge, np.minimum(at + NEAR + 1, len(flow)), -1)
+            return (np.unique(flow[np.cumsum(edge[:-1]) > 0]),)
+
+        common = np.union1d(common, _common(_map_sets(own, "s array<bigint>", involved, words).select(F.explode("s").alias("t"), F.lit(1).cast("long").alias("c"))))[:COMMON]
+    for turn in range(TURNS):
+        lists = materialise(_lists_of(own, common, held, words, similar), "lists")
+        long = lists.where(F.col("m") > SHORT).groupBy("t").agg(F.first("m").cast("long").alias("c"))
+        late = long.where(F.col("c") > SHORT).orderBy(F.desc("c"), "t").limit(COMMON).toPandas()
+        late = late[~_member(common, late["t"].to_numpy(np.int64))]
+        # Common tokens that were missed are ordered last too, unless they are hardly worth another pass.
+        if turn + 1 == TURNS or late["c"].sum() * 20 <= classes.count():
+            break
+        common = np.union1d(common, late["t"].to_numpy(np.int64))[:COMMON]
 
     short = lists.where(F.col("m") <= SHORT)
     a, b = (short.select("t", *[F.col(c).alias(f"{c}_{x}") for c in ("sid", "n", "pos")]) for x in "ab")
@@ -304,29 +391,44 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     pairs = materialise(pairs.select("sid_a", "sid_b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(bounded, "sid_a bigint, sid_b bigint, n_a int, n_b int"), "pairs")
 
-    # The whole sets of the classes that are still in question, from one document of each.
+    # Classes that a pair or a long list brings together form a cluster; its sets are compared whole, each sent once.
     long = lists.where(F.col("m") > SHORT)
-    asked = pairs.select(F.col("sid_a").alias("sid")).unionByName(pairs.select(F.col("sid_b").alias("sid"))).unionByName(long.select("sid")).distinct()
-    keys = materialise(classes.join(asked, "sid").select(F.col("rep").alias("_key")).distinct(), "keys")
-    chosen = own.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, "_key", "left_semi")
-    sets = _map_sets(chosen, "sid bigint, tokens array<bigint>", lambda i, key, s: (_sid(s), s), words)
-    sets = materialise(sets.dropDuplicates(["sid"]), "asked")
-
-    compared = pairs.join(sets.select(F.col("sid").alias("sid_a"), F.col("tokens").alias("tokens_a")), "sid_a").join(sets.select(F.col("sid").alias("sid_b"), F.col("tokens").alias("tokens_b")), "sid_b")
-    both = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    links = compared.where(100 * both >= similar * (F.col("n_a") + F.col("n_b") - both)).select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"))
-    links = links.unionByName(_long_lists(long.select("t", "sid", "n"), sets, similar))
+    star = join_one(long, materialise(long.groupBy("t").agg(F.min("sid").alias("head"), F.count(F.lit(1)).alias("c")), "heads"), "t", "c", long.count())
+    together = components(pairs.select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b")).unionByName(star.select(F.col("head").alias("a"), F.col("sid").alias("b"))))
+    members = together.select(F.col("node").alias("sid"), F.col("component").alias("t")).join(classes.select("sid", "n", "rep"), "sid")
+    links = _links_in_clusters(own, materialise(members, "clusters"), words, similar)
 
     label = components(links)
     named = classes.join(label.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least_id = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = materialise(named.join(least_id, "component").select("sid", "component_id", "c"), "named")
+    named = materialise(named.join(least_id, "component").select("sid", "component_id", "component", "c"), "named")
 
-    got = every.select("_id", "sid", "n")
+    got = every.select("_id", "_key", "sid", "n")
     with_set = join_one(got.where("sid is not null"), named, "sid", "c", some.count())
-    out = with_set.select("_id", "n", "component_id", "sid").unionByName(got.where("sid is null").select("_id", "n", F.col("_id").alias("component_id"), "sid"))
-    return out.select(F.col("_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id", F.col("sid").alias("class_id"))
+    cols = ["_id", "_key", "n", "component_id", "sid", "component"]
+    out = with_set.select(cols).unionByName(got.where("sid is null").select("_id", "_key", "n", F.col("_id").alias("component_id"), "sid", F.lit(None).cast("long").alias("component")))
+    return out.select(F.col("_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id", F.col("sid").alias("class_id"), F.col("component").alias("group_id"), "_key")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
+    """docs with one row of each group of linked documents: that of least id (null last). Rows without words are no group and stay."""
+    marked = materialise(ngram_join(docs, id_col, text_col, words, similar), "marked")
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_key").alias("key")))
+    chosen = marked.where("group_id is not null").groupBy("group_id").agg(first.alias("x")).select(F.col("x.key").alias("_key"), F.col("x.id").alias("_id"))
+    rows = marked.where("group_id is not null").groupBy("_key", F.col(id_col).alias("_id")).agg(F.count(F.lit(1)).alias("c"))
+    chosen = materialise(chosen.join(rows, (chosen["_key"] == rows["_key"]) & chosen["_id"].eqNullSafe(rows["_id"])).select(chosen["_key"], chosen["_id"], "c"), "chosen")
+    keyed = docs.withColumns({"_key": F.xxhash64(F.col(id_col), F.col(text_col)), "_own": F.col(id_col).cast("long")})
+    wordless = keyed.where(F.coalesce(F.length(F.translate(text_col, SPACE, "")), F.lit(0)) == 0)
+
+    def met(keys: DataFrame) -> DataFrame:
+        keys = keys.select("_key", "_id")
+        keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+        return keyed.join(keys, (keyed["_key"] == keys["_key"]) & keyed["_own"].eqNullSafe(keys["_id"]), "left_semi")
+
+    names = [f"`{c}`" for c in docs.columns]
+    single, several = met(chosen.where("c = 1")), met(chosen.where("c > 1")).dropDuplicates(["_key"])
+    return single.select(names).unionByName(several.select(names)).unionByName(wordless.select(names))
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return ngram_join(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("group_id", "_key")
