@@ -35,15 +35,17 @@ from weftline.llm.common import SPACE_RE, table
 
 ORDER, BACKOFF = 3, 0.4
 #: Tokens of a chunk, and entries of a hash range, on average.
-CHUNK_TOKENS, RANGE_ENTRIES = 1_000_000, 2_000_000
+CHUNK_TOKENS, RANGE_ENTRIES = 1_600_000, 1_000_000
+#: Word hashes that a worker keeps (about 150 bytes each).
+KEPT_WORDS = 200_000
 K = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Memo(dict):
-    """Hash of a word; forgotten beyond a million words."""
+    """Hash of a word; forgotten beyond KEPT_WORDS words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > KEPT_WORDS:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -77,12 +79,12 @@ def grams(words: np.ndarray, size: np.ndarray, order: int) -> list[tuple[np.ndar
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """The bytes of the values, all first bytes first: equal high bytes then lie together."""
-    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+    """The bytes of the values, all first bytes first (equal high bytes then lie together), compressed."""
+    return zstandard.compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes(), 1)
 
 
 def _values(planes: bytes, kind: type) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(planes), np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def _unpacked(chunk: pa.Table) -> tuple[list, list[bytes]]:
@@ -115,7 +117,7 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", or
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 some = by_chunk[a:b]
                 got = [texts[int(i)].as_py() for i in some]
-                rows.append((int(chunk[some[0]]), [ids[i] for i in some], [len(t) for t in got], zstandard.compress(b"".join(got), 3)))
+                rows.append((int(chunk[some[0]]), [ids[i] for i in some], [len(t) for t in got], zstandard.compress(b"".join(got), 9)))
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["chunk", "ids", "sizes", "pack"])
 
@@ -123,12 +125,12 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", or
     bounds = np.array([(k << 64) // n_ranges for k in range(1, n_ranges)], np.uint64)
 
     def entries(chunk: pa.Table) -> tuple[list, np.ndarray, list, np.ndarray, np.ndarray]:
-        """ids, sizes and n-grams of a chunk; its distinct n-grams, sorted, and the place of each n-gram among them."""
+        """ids, sizes and n-gram ends of a chunk; its distinct n-grams, sorted, and the place of each n-gram among them."""
         ids, texts = _unpacked(chunk)
         words, size = tokens(texts)
         each = grams(words, size, order)
         distinct, place = np.unique(np.concatenate([h for _, h in each]), return_inverse=True)
-        return ids, size, each, distinct, place
+        return ids, size, [ends for ends, _ in each], distinct, place
 
     def slices(chunk: pa.Table) -> pa.Table:
         _, _, _, distinct, place = entries(chunk)
@@ -153,14 +155,15 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", or
         counts = np.concatenate([_values(c, np.uint64) for _, c in parts]) if parts else np.empty(0, np.uint64)
         assert len(counts) == len(distinct), "a hash range did not answer"
         doc, n = np.repeat(np.arange(len(size)), size), int(size.sum())
-        of_doc = np.concatenate([doc[ends] for ends, _ in each]) if each else doc
+        of_doc = np.concatenate([doc[ends] for ends in each])
         _, pair, times = np.unique(of_doc * max(1, len(distinct)) + place, return_inverse=True, return_counts=True)
         others = counts[place].astype(np.int64) - times[pair]
+        del of_doc, pair, times, place, counts, distinct
         # seen[k]: count among the other documents of the n-gram of order k + 1 that ends at a token (-1: there is none).
         seen, at = np.full((order, n), -1, np.int64), 0
-        for k, (ends, h) in enumerate(each):
-            seen[k, ends] = others[at : at + len(h)]
-            at += len(h)
+        for k, ends in enumerate(each):
+            seen[k, ends] = others[at : at + len(ends)]
+            at += len(ends)
         rest = np.maximum(total - size, 1)[doc].astype(np.float64)
         left = np.concatenate([np.zeros((order, 1), np.int64), seen[:, :-1]], axis=1) if n else seen
         logs, open_, lost = np.zeros(n), np.ones(n, bool), np.zeros(n)
