@@ -210,8 +210,8 @@ class Sorted:
                 new = low[x] < 0
                 low[x[new]], mate_low[x[new]] = d, mate[new]
                 high[x], mate_high[x] = d, mate
-        found = np.flatnonzero(low >= 0)
         for d, mate in ((low, mate_low), (high, mate_high)):
+            found = np.flatnonzero(low >= 0)
             for x in found[self._differ(found, mate[found], d[found])].tolist():
                 low[x], high[x] = self._by_bytes(x)
         return low, high
@@ -336,3 +336,16 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+ORACLE = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS t FROM documents),
+w AS (SELECT r, i, md5(substr(t, 2 * i + 1, 800)) AS h FROM (SELECT r, t, unnest(range(0, length(t) // 2 - 399)) AS i FROM d WHERE length(t) >= 800)),
+k AS (SELECT r, i FROM w JOIN (SELECT h FROM w GROUP BY h HAVING count(*) > 1) USING (h)),
+g AS (SELECT r, i, i - lag(i) OVER (PARTITION BY r ORDER BY i) > 400 AS apart FROM k),
+n AS (SELECT r, i, sum(CASE WHEN apart IS NULL OR apart THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS span FROM g),
+s AS (SELECT r, min(i) AS a, max(i) + 400 AS b FROM n GROUP BY r, span),
+m AS (SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(a || ':' || b, ',' ORDER BY a) AS spans, list(a ORDER BY a) AS sa, list(b ORDER BY a) AS sb FROM s GROUP BY r),
+c AS (SELECT d.r, string_agg(substr(t, 2 * x + 1, 2 * (y - x)), '' ORDER BY x) AS kept FROM d JOIN m USING (r), LATERAL (SELECT unnest(list_concat([0], sb)) AS x, unnest(list_append(sa, length(t) // 2)) AS y) u GROUP BY d.r)
+SELECT doc_id, CAST(length(t) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, t))) AS kept_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN m USING (r) LEFT JOIN c USING (r)
+"""
