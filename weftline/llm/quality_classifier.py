@@ -40,13 +40,15 @@ ROUNDS, SURE, ADDED = 4, 0.95, 0.05
 #: Share of the held-out good documents that the threshold may reject, and the part of the labelled rows held out.
 REJECTED_GOOD, HELD_OUT = 0.002, 4
 STATS, META = 10, 160
+#: Words whose buckets a worker keeps (about 150 bytes each).
+KEPT_WORDS = 200_000
 
 
 class Words(dict):
-    """Bucket of a word without the punctuation around it; forgotten beyond a million words."""
+    """Bucket of a word without the punctuation around it; forgotten beyond KEPT_WORDS words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > KEPT_WORDS:
             self.clear()
         self[word] = b = zlib.crc32(word.strip(b".,;:!?\"'()[]{}|#$%&*-")) % BUCKETS
         return b
