@@ -64,6 +64,37 @@ def bulk_order(items: DataFrame, stock: DataFrame, batch: str, key: str, qty: st
     return judged.groupBy(batch).agg(F.sum("_n").alias("n_items"), (F.bool_and(fits) & (F.sum("_n") <= most)).alias("accepted"))
 
 
+def place_orders(stock: DataFrame, orders: DataFrame, key: str, seq: str, qty: str, copies: str) -> DataFrame:
+    """MU6: key, seq, outcome of orders in turn: 201 while the stock left suffices (and is taken), else 409 (and nothing is taken); 404 for an unknown key, 400 without a positive quantity.
+
+    Whether an order is met depends on all before it of its key, so the rows come sorted
+    by key and number and a task holds one stock at a time.
+    """
+    rows = orders.join(stock.select(key, copies), key, "left").select(F.col(key).alias("k"), F.col(seq).alias("s"), F.col(qty).cast("double").alias("q"), F.col(copies).cast("double").alias("c"))
+
+    def run(batches):
+        name, left = None, None
+        for pdf in batches:
+            out = []
+            for k, s, q, c in pdf.itertuples(index=False):
+                if k != name or left is None:
+                    name, left = k, c
+                if c != c or c is None:
+                    out.append(404)
+                elif not q > 0:
+                    out.append(400)
+                elif q <= left:
+                    left -= q
+                    out.append(201)
+                else:
+                    out.append(409)
+            yield pdf.assign(outcome=out)[["k", "s", "outcome"]]
+
+    types = dict(rows.dtypes)
+    done = rows.repartition("k").sortWithinPartitions("k", "s").mapInPandas(run, f"k {types['k']}, s {types['s']}, outcome int")
+    return done.select(F.col("k").alias(key), F.col("s").alias(seq), "outcome")
+
+
 def take_stock(stock: DataFrame, items: DataFrame, key: str, qty: str, copies: str, sign: int = -1) -> DataFrame:
     """MU6 (sign -1) and MU8, MU9 (sign 1): the stock less, or plus, the items' quantities by key (AG2)."""
     moved = items.groupBy(key).agg(F.sum(qty).alias("_moved"))

@@ -45,3 +45,20 @@ def throughput(runs: DataFrame, items: str, elapsed: str, latency: str) -> DataF
 def histogram(df: DataFrame, *keys) -> DataFrame:
     """AG24: counts of samples."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+
+def connected(players: DataFrame, game: str, flag: str) -> DataFrame:
+    """AG21: connected players of each game."""
+    return players.groupBy(game).agg(F.count_if(F.col(flag)).alias("n_connected"))
+
+
+def range_weights(balls: DataFrame, ranges: DataFrame, place: str, weight: str) -> DataFrame:
+    """AG26: weight of the balls of each range (low, high; both ends included).
+
+    Prefix sums at the two ends do it, so a ball meets no range but those it bounds; 0 for
+    an empty range. Prefix sums are taken over the places, which number the balls.
+    """
+    total = balls.groupBy(F.col(place).alias("p")).agg(F.sum(weight).alias("w"))
+    sums = total.withColumn("s", F.sum("w").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)))
+    low, high = sums.select((F.col("p") + 1).alias("low"), F.col("s").alias("_before")), sums.select(F.col("p").alias("high"), F.col("s").alias("_upto"))
+    return ranges.join(low, "low", "left").join(high, "high", "left").select("low", "high", (F.coalesce("_upto", F.lit(0)) - F.coalesce("_before", F.lit(0))).alias("weight"))

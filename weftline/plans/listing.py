@@ -220,3 +220,14 @@ def preconditions(spark, d):
     """PF19."""
     tag, sent = F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 3 == 1, F.lit("old")).when(F.col("o_orderkey") % 3 == 2, F.col("o_orderkey").cast("string"))
     return load(spark, d, "orders").select("o_orderkey", V.precondition(sent, tag, False).alias("write_status"), V.precondition(sent, tag, True).alias("read_status"))
+
+
+@query("""WITH RECURSIVE o AS (SELECT event_id, user_id, event_id % 9 AS q, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+f(user_id, event_id, k, rest, outcome) AS (SELECT user_id, CAST(NULL AS BIGINT), CAST(0 AS BIGINT), CAST(40 AS BIGINT), 0 FROM (SELECT DISTINCT user_id FROM events)
+UNION ALL SELECT o.user_id, o.event_id, o.k, CASE WHEN o.q > 0 AND o.q <= rest THEN rest - o.q ELSE rest END, CASE WHEN o.q = 0 THEN 400 WHEN o.q <= rest THEN 201 ELSE 409 END FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1)
+SELECT user_id, event_id, CAST(outcome AS INTEGER) AS outcome FROM f WHERE k > 0""")
+def place_orders(spark, d):
+    """MU6: orders met in turn while the stock lasts."""
+    e = load(spark, d, "events")
+    stock = e.select("user_id").distinct().withColumn("copies", F.lit(40))
+    return M.place_orders(stock, e.select("user_id", "event_id", (F.col("event_id") % 9).alias("q")), "user_id", "event_id", "q", "copies")

@@ -273,3 +273,17 @@ def formatted_times(spark, d):
     """Date formats, of a fixed column."""
     stamp, iso = scalar.formatted(F.col("event_id") * 1000)
     return _events(spark, d).select("event_id", stamp.alias("stamp"), iso.alias("iso"))
+
+
+@query("SELECT user_id, count(*) FILTER (event_type <> 'error') AS n_connected FROM events GROUP BY 1")
+def connected_players(spark, d):
+    """AG21."""
+    return S.connected(_events(spark, d).withColumn("on", F.col("event_type") != "error"), "user_id", "on")
+
+
+@query("SELECT low, low + 3 AS high, CAST((SELECT coalesce(sum(p_size), 0) FROM part WHERE p_partkey BETWEEN low AND low + 3) AS BIGINT) AS weight FROM (SELECT unnest(range(1, 41, 3)) AS low)")
+def range_weights(spark, d):
+    """AG26."""
+    ranges = spark.range(1, 41, 3).select(F.col("id").alias("low"), (F.col("id") + 3).alias("high"))
+    balls = load(spark, d, "part").where("p_partkey <= 60").select("p_partkey", F.col("p_size").cast("long").alias("w"))
+    return S.range_weights(balls, ranges, "p_partkey", "w")

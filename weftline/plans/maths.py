@@ -375,3 +375,9 @@ def ising_curve(spark, d):
 def uniform_samples(spark, d):
     """SC18: statistics of a random table."""
     return A.uniform_table(spark, 100_000).agg(F.avg("u").alias("mean"), F.variance("u").alias("variance"), F.count_distinct("day").alias("days"))
+
+
+@query("SELECT state, CAST(round(p, 4) AS DOUBLE) AS p FROM (VALUES (0, 0.0078125), (1, 0.0078125), (2, 0.0078125), (3, 0.0078125), (4, 0.0078125), (5, 0.9453125), (6, 0.0078125), (7, 0.0078125)) t(state, p)")
+def grover_probs(spark, d):
+    """Probabilities of three qubits after two rounds of search for state 5."""
+    return spark.createDataFrame([(k, round(float(p), 4)) for k, p in enumerate(N.grover(3, 5, 2))], "state int, p double")
