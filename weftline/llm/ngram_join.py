@@ -32,12 +32,14 @@ from weftline.llm.components import components
 WORDS = 5
 #: Similarity in hundredths.
 SIMILAR = 80
-#: Lists up to this length are joined pair by pair.
-SHORT = 128
+#: Tokens of more sets than this are ordered last; lists up to SHORT are joined pair by pair.
+FREQUENT, SHORT = 128, 384
+#: Tokens that two similar sets must share in their prefixes, which are as much longer than what makes them share one.
+SHARED = 4
 #: Tokens that are ordered last: the most frequent ones, at most so many (8 bytes each); the result is the same for any choice.
 COMMON = 1_000_000
-#: One token in so many (a power of two) is counted to see what is common; NEAR tokens before and after one that is are counted next.
-SEEDS, NEAR = 8, 32
+#: One token in so many (a power of two) is counted to see what is common; NEAR tokens before and after one that is are counted next, and all between two that are at most GAP apart.
+SEEDS, NEAR, GAP = 8, 8, 64
 #: Rows of a batch that have a token for it to be counted as well, seed or not (short common lines may have no seed).
 OFTEN = 3
 #: Passes over the index lists at most: one more each time many sets meet at common tokens that were missed.
@@ -48,7 +50,8 @@ COPIES, COPIED = 16, 100_000
 BLOCK_TOKENS, BLOCK_SETS = 2_000_000, 4096
 #: Row keys up to this number are broadcast (8 bytes each), more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
-MEMO = 1_000_000
+#: Word hashes that a worker keeps (about 150 bytes each), and shingles of rows whose frequent ones are counted together.
+MEMO, TOGETHER = 200_000, 3_000_000
 K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -79,8 +82,8 @@ def shingles(text: bytes, memo: Memo, n: int = WORDS) -> np.ndarray:
 
 
 def prefix_len(n: int, similar: int = SIMILAR) -> int:
-    """Two sets that are similar share one of the first so many of each."""
-    return n - -(-similar * n // 100) + 1
+    """Two sets that are similar share SHARED of the first so many of each, or all that they need to share."""
+    return min(n, n - -(-similar * n // 100) + SHARED)
 
 
 def signature(s: np.ndarray) -> bytes | None:
@@ -149,7 +152,7 @@ def _described(words: int):
                     rows.append((i, k, _sid(s), len(s), signature(s)) if len(s) else (i, k, None, 0, None))
                 cols = [pa.array([r[c] for r in rows], kinds[c]) for c in range(5)]
                 yield pa.RecordBatch.from_arrays([*cols, _lists(seeds), *(pa.array([None] * len(rows), kind) for kind in kinds[6:])], names)
-                if held > BLOCK_TOKENS * 4 or at + 2000 >= whole.num_rows:
+                if held > TOGETHER or at + 2000 >= whole.num_rows:
                     token, times = np.unique(np.concatenate(every), return_counts=True)
                     often = times >= OFTEN
                     yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip((None, None, None, -1, None, None, token[often].tolist(), times[often].tolist()), kinds, strict=True)], names)
@@ -163,8 +166,8 @@ def _sid(s: np.ndarray) -> int:
 
 
 def _common(tokens: DataFrame) -> np.ndarray:
-    """Tokens (t, c) of more than SHORT rows, the COMMON most frequent at most, sorted."""
-    counted = tokens.groupBy("t").agg(F.sum("c").alias("c")).where(F.col("c") > SHORT).orderBy(F.desc("c"), "t").limit(COMMON)
+    """Tokens (t, c) of more than FREQUENT rows, the COMMON most frequent at most, sorted."""
+    counted = tokens.groupBy("t").agg(F.sum("c").alias("c")).where(F.col("c") > FREQUENT).orderBy(F.desc("c"), "t").limit(COMMON)
     return np.sort(counted.select("t").toPandas()["t"].to_numpy(np.int64))
 
 
@@ -358,8 +361,9 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             if not len(at) or held.value.get(_sid(np.unique(flow)), key) != key:
                 return None
             edge = np.zeros(len(flow) + 1, np.int64)
+            gap = np.diff(at, append=len(flow) + GAP + 1)
             np.add.at(edge, np.maximum(at - NEAR, 0), 1)
-            np.add.at(edge, np.minimum(at + NEAR + 1, len(flow)), -1)
+            np.add.at(edge, np.minimum(at + np.where(gap <= GAP, gap, NEAR) + 1, len(flow)), -1)
             return (np.unique(flow[np.cumsum(edge[:-1]) > 0]),)
 
         common = np.union1d(common, _common(_map_sets(own, "s array<bigint>", involved, words).select(F.explode("s").alias("t"), F.lit(1).cast("long").alias("c"))))[:COMMON]
@@ -379,7 +383,9 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Even if all before and after the shared token were shared too, the overlap must suffice.
     reach = F.least("pos_a", "pos_b") + 1 + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) - 1
     met = a.join(b, "t").where((F.col("sid_a") < F.col("sid_b")) & (100 * least >= similar * most) & ((100 + similar) * reach >= similar * (F.col("n_a") + F.col("n_b"))))
-    pairs = met.select("sid_a", "sid_b", "n_a", "n_b").distinct()
+    # A token of a long list may be among those they share; then that list brings the two together.
+    enough = F.least(F.lit(SHARED), F.ceil(F.greatest("n_a", "n_b") * similar / 100))
+    pairs = met.groupBy("sid_a", "sid_b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= enough)
     sig = some.groupBy("sid").agg(F.first("sig").alias("sig"))
     pairs = pairs.join(sig.select(F.col("sid").alias("sid_a"), F.col("sig").alias("sig_a")), "sid_a").join(sig.select(F.col("sid").alias("sid_b"), F.col("sig").alias("sig_b")), "sid_b")
 
@@ -431,4 +437,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("group_id", "_key")
+    return ngram_join(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT r, CASE WHEN len(ws) < 5 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i + 4], ' ') END AS sh FROM (SELECT r, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y FROM s a JOIN s b ON a.sh = b.sh AND a.r < b.r JOIN n na ON na.r = a.r JOIN n nb ON nb.r = b.r GROUP BY a.r, b.r, na.n, nb.n HAVING 100 * count(*) >= 80 * (na.n + nb.n - count(*))),
+e AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+t(r, q) AS (SELECT r, r FROM d UNION SELECT t.r, e.y FROM t JOIN e ON t.q = e.x)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id FROM d LEFT JOIN n USING (r) JOIN (SELECT t.r, min(d.doc_id) AS component_id FROM t JOIN d ON d.r = t.q GROUP BY t.r) m USING (r)
+"""
