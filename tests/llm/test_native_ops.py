@@ -12,7 +12,7 @@ from weftline.llm import quality_rules, secret_scan, url_filter
 
 SCHEMA = "doc_id bigint, text string"
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
-WEAK = [(k, re.compile(p)) for k, _, p in secret_scan.WEAK]
+WEAK = [(k, re.compile(p), m) for k, _, p, m in secret_scan.WEAK]
 HEX = "0123456789abcdef" * 2
 KEY = "AKIA" + "ABCD1234" * 2
 
@@ -30,6 +30,7 @@ TEXTS = [
     "pwd=geheim " + "z " * 200 + "user=bob",
     "user=bob " + "pwd=abcd http://h/x " * 50,
     "ſecret=abcdefghij toKen=abcdefghij",
+    "key id: login=anna9 Abcdefghij0123456789xyz== at db.x 192.168.7.1:5432 and abcdefghijabcdefghijabc",
     "AKIA" + "A" * 11 + " AKIAAKIA" + "B" * 12,
 ]
 
@@ -44,7 +45,7 @@ def base_spans(t):
 
 def linked_spans(t, base, scope=secret_scan.SCOPE):
     t = t or ""
-    weak = [(m.start(), secret_scan.ORDER[k], m.end(), k) for k, p in WEAK for m in p.finditer(t)]
+    weak = [(m.start(), secret_scan.ORDER[k], m.end(), k) for k, p, must in WEAK for m in p.finditer(t) if all(re.search(x, m[0]) for x in must)]
     weak = [w for w in weak if not any(b[0] < w[2] and w[0] < b[2] for b in base)]
     cls = secret_scan.CLASS
     out = set()

@@ -17,8 +17,11 @@ QUERIES = {
     "op10_ngram_join": ngram_join.op10_ngram_join,
 }
 ORACLES = {
+    "op1_secret_scans": secret_scan.ORACLE,
     "op3_substring_dedup": line_dedup.ORACLE,
+    "op4_suffix_dedup": suffix_dedup.ORACLE,
     "op5_url_filters": url_filter.ORACLE,
     "op8_lm_scoring": lm_score.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
+    "op10_ngram_join": ngram_join.ORACLE,
 }

@@ -21,22 +21,31 @@ from weftline.llm.common import let, materialise, row_key, table
 
 #: Code points between a secret and a part that may complement it.
 SCOPE = 200
-ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def cased(words: str) -> str:
+    """A pattern for its letters A-Z in either case (an engine's own option may fold other letters into them)."""
+    return "".join(f"[{c}{c.upper()}]" if c.islower() else c for c in words)
+
+
+SET = r"""["']?\x20*[:=]\x20*["']?"""
+ASSIGN = f"({cased('password|passwd|secret|token|api_?key')}){SET}([A-Za-z0-9+/_.=-]+)"
 #: Base kinds in their order: pattern, group that must have so many characters. Longer runs cannot hold a second match, so the length of access and hex is in the pattern.
 BASE = [("assign", ASSIGN, 2, 8), ("access", r"AKIA[A-Z0-9]{12,}", 0, 16), ("hex", r"[0-9a-f]{32,}", 0, 32)]
-#: Weak parts: kind, class, pattern.
+#: Weak parts: kind, class, pattern, what a match must hold somewhere.
 WEAK = [
-    ("ident", "ident", r"""(?i:access_?key(?:_?id)?|client_?id|account_?id|user(?:name)?|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})"""),
-    ("weak", "secret", r"""(?i:pwd|pass|passphrase|auth|bearer|credential|private_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{4,})|(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{20,}={0,2}"""),
-    ("endpoint", "endpoint", r"""(?i:https?|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]+|(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9.])(?::[0-9]{2,5})?"""),
+    ("ident", "ident", f"(?:{cased('access_?key_?id|access_?key|client_?id|account_?id|username|user|login')}){SET}[A-Za-z0-9@._-]{{3,}}", []),
+    ("weak", "secret", f"(?:{cased('pwd|passphrase|pass|auth|bearer|credential|private_?key')}){SET}[A-Za-z0-9+/_.=-]{{4,}}", []),
+    ("blob", "secret", r"[A-Za-z0-9+/]{20,}={0,2}", ["[0-9]", "[A-Z]", "[a-z]"]),
+    ("endpoint", "endpoint", r"""(?:https?|ftp|postgresql|postgres|mysql|mongodb|redis|amqp)://[^\x20\x09-\x0D"'<>]+|[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{2,5})?""", []),
 ]
 #: Class of each kind for the linking; the order of kinds in spans of equal start.
-CLASS = {"assign": "secret", "access": "ident", "hex": "secret"} | {k: c for k, c, _ in WEAK}
+CLASS = {"assign": "secret", "access": "ident", "hex": "secret"} | {k: c for k, c, *_ in WEAK}
 ORDER = {k: i for i, k in enumerate([*(b[0] for b in BASE), *(w[0] for w in WEAK)])}
 
 
-def _spans(text: Column, kind: str, pattern: str, group: int = 0, least: int = 0) -> Column:
-    """array<struct<s, o, e, kind>> of the leftmost non-overlapping matches.
+def _spans(text: Column, kind: str, pattern: str, group: int = 0, least: int = 0, must: list[str] | None = None) -> Column:
+    """array<struct<s, o, e, kind>> of the leftmost non-overlapping matches, without those whose group is too short or lacks what it must hold.
 
     What lies between the matches comes from split, the matches from regexp_extract_all
     with the same pattern; their lengths, summed up, are the positions.
@@ -44,7 +53,14 @@ def _spans(text: Column, kind: str, pattern: str, group: int = 0, least: int = 0
     empty = F.array().cast("array<struct<s:int,o:int,e:int,kind:string>>")
     gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
     whole = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.length(x))
-    value = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda x: F.length(x)) if group else whole
+
+    def judged(x: Column) -> Column:
+        n = F.length(x)
+        for m in must or []:
+            n = F.when(F.rlike(x, F.lit(m)), n).otherwise(-1)
+        return n
+
+    value = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), judged) if group or must else whole
     parts = F.arrays_zip(F.slice(gaps, 1, F.size(whole)).alias("gap"), whole.alias("len"), value.alias("val"))
     start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
 
@@ -71,7 +87,7 @@ def base_and_weak(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """A row for each document without its text: _id, _key, base (sorted spans), weak (sorted spans that overlap no base span)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = F.sort_array(F.concat(*[_spans(text, *b) for b in BASE]))
-    weak = F.sort_array(F.concat(*[_spans(text, k, p) for k, _, p in WEAK]))
+    weak = F.sort_array(F.concat(*[_spans(text, k, p, must=m) for k, _, p, m in WEAK]))
     found = docs.select(F.col(id_col).alias("_id"), row_key(id_col, text_col).alias("_key"), base.alias("base"), weak.alias("weak"))
     free = F.filter("weak", lambda w: ~F.exists("base", lambda b: (b["s"] < w["e"]) & (w["s"] < b["e"])))
     return found.withColumn("weak", F.when((F.size("weak") == 0) | (F.size("base") == 0), F.col("weak")).otherwise(free))
@@ -95,8 +111,7 @@ def link(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     others = over(parts.where("cls <> 'secret'"), 0).withColumnRenamed("p", "b")
     near = (F.col("a.s") - F.col("b.e") <= scope) & (F.col("b.s") - F.col("a.e") <= scope) & ((F.col("a.e") <= F.col("b.s")) | (F.col("b.e") <= F.col("a.s")))
     pairs = secrets.join(others, ["_key", "bucket"]).where(near)
-    weak = [F.lit(k) for k, _, _ in WEAK]
-    hit = pairs.select("_key", F.explode(F.array("a", "b")).alias("p")).where(F.col("p.kind").isin(*[k for k, _, _ in WEAK])) if weak else pairs
+    hit = pairs.select("_key", F.explode(F.array("a", "b")).alias("p")).where(F.col("p.kind").isin(*[k for k, *_ in WEAK]))
     return hit.groupBy("_key").agg(F.sort_array(F.collect_set("p")).alias("linked"))
 
 
@@ -137,3 +152,30 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
 
     return out.select("doc_id", *[count(k).alias(f"n_{k}") for k, *_ in BASE], F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(_union("base", "linked")).alias("spans"))
+
+
+def _oracle() -> str:
+    """The query in SQL, with the same patterns."""
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = [(k, p, g, n, []) for k, p, g, n in BASE] + [(k, p, 0, 0, m) for k, _, p, m in WEAK]
+    kinds = []
+    for k, p, g, n, must in rows:
+        keep = " AND ".join([f"length(v) >= {n}", *(f"regexp_matches(v, {q(m)})" for m in must)])
+        kinds.append(f"SELECT r, {q(k)} AS kind, {ORDER[k]} AS o, s, e FROM (SELECT r, v, CAST(sum(length(g) + length(m)) OVER (PARTITION BY r ORDER BY i) AS BIGINT) AS e, CAST(sum(length(g) + length(m)) OVER (PARTITION BY r ORDER BY i) - length(m) AS BIGINT) AS s FROM (SELECT r, generate_subscripts(ms, 1) AS i, unnest(ms) AS m, unnest(vs) AS v, unnest(gs[:len(ms)]) AS g FROM (SELECT r, regexp_extract_all(t, {q(p)}) AS ms, regexp_extract_all(t, {q(p)}, {g}) AS vs, string_split_regex(t, {q(p)}) AS gs FROM d) WHERE len(ms) > 0)) WHERE {keep}")
+    cls = "CASE kind " + " ".join(f"WHEN {q(k)} THEN {q(c)}" for k, c in CLASS.items()) + " END"
+    base = ", ".join(q(b[0]) for b in BASE)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+k AS ({" UNION ALL ".join(kinds)}),
+b AS (SELECT * FROM k WHERE kind IN ({base})),
+w AS (SELECT * FROM k WHERE kind NOT IN ({base}) AND NOT EXISTS (SELECT 1 FROM b WHERE b.r = k.r AND b.s < k.e AND k.s < b.e)),
+p AS (SELECT *, {cls} AS c FROM (SELECT * FROM b UNION ALL SELECT * FROM w)),
+l AS (SELECT * FROM w WHERE EXISTS (SELECT 1 FROM p WHERE p.r = w.r AND (p.c = 'secret') <> ({cls.replace("kind", "w.kind")} = 'secret') AND (p.e <= w.s OR w.e <= p.s) AND p.s - w.e <= {SCOPE} AND w.s - p.e <= {SCOPE})),
+x AS (SELECT *, true AS base FROM b UNION ALL SELECT *, false FROM l),
+f AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  coalesce(string_agg(CASE WHEN base THEN kind || ':' || s || ':' || e END, ',' ORDER BY s, o), '') AS base_text, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o) AS spans FROM x GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base_text, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN f USING (r)
+"""
+
+
+ORACLE = _oracle()
