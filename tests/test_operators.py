@@ -125,7 +125,7 @@ def test_statistics(spark):
 
 def test_flows_golden(spark):
     got = {r["name"]: r["label"] for r in graph.flow_totals(generators.flow_nodes(spark), generators.flows(spark)).collect()}
-    assert got["identified"] == "identified (n=150)" and len(got) == 8
+    assert got["IEEE"] == "IEEE (n=32)" and got["Tier 3"] == "Tier 3 (n=185)" and len(got) == 8
 
 
 def test_lattice_golden(spark):

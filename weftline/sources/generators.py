@@ -5,13 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Nodes and flows of the screening diagram, and the knapsack.
-FLOW_NODES = [(1, "identified"), (2, "database"), (3, "other"), (4, "screened"), (5, "duplicates"), (6, "eligible"), (7, "excluded"), (8, "included")]
-FLOWS = [(1, 2, 120), (1, 3, 30), (2, 4, 100), (2, 5, 20), (3, 4, 25), (3, 5, 5), (4, 6, 80), (4, 7, 45), (6, 8, 60), (6, 7, 20), (5, 7, 25), (2, 6, 3), (3, 8, 2), (5, 4, 1), (7, 8, 4)]
+# Names, sources, targets and weights of the screening diagram (places count from 1).
+NAMES = ["IEEE", "ACM", "Scopus", "Tier 1", "Tier 2", "Tier 3", "Included", "Excluded"]
+SRC = [1, 1, 1, 2, 2, 2, 3, 3, 3, 4, 4, 5, 5, 6, 6]
+DST = [4, 5, 6, 4, 5, 6, 4, 5, 6, 7, 8, 7, 8, 7, 8]
+WEIGHTS = [0, 1, 31, 52, 77, 131, 1, 0, 23, 7, 46, 28, 50, 151, 34]
+FLOW_NODES = list(enumerate(NAMES, 1))
+FLOWS = list(zip(SRC, DST, WEIGHTS, strict=True))
+
+# The knapsack's values and weights.
 KNAPSACK_VALUES = [4, 2, 2, 5, 6]
 KNAPSACK_WEIGHTS = [4, 3, 3, 7, 8]
-#: Copies of each author's books; the sums are those of the seed list.
-COPIES = [[5000, 5, 4, 3, 2], [3, 3, 3, 3], [4, 4, 4, 3, 3, 3, 3]]
+
+# Authors (name, birth year), and books (title, place of the author, copies, year).
+AUTHORS = [("J.R.R. Tolkien", 1892), ("Andrzej Sapkowski", 1948), ("George R.R. Martin", 1948)]
+BOOKS = [
+    ("My Random Book", 0, 5000, 2000),
+    ("The Hobbit", 0, 5, 1937),
+    ("The Fellowship of the Ring", 0, 3, 1954),
+    ("The Two Towers", 0, 3, 1954),
+    ("The Return of the King", 0, 3, 1955),
+    ("The Last Wish", 1, 4, 1993),
+    ("Sword of Destiny", 1, 4, 1992),
+    ("Blood of Elves", 1, 2, 1994),
+    ("Time of Contempt", 1, 2, 1995),
+    ("A Game of Thrones", 2, 6, 1996),
+    ("A Clash of Kings", 2, 5, 1998),
+    ("A Storm of Swords", 2, 4, 2000),
+    ("A Feast for Crows", 2, 3, 2005),
+    ("A Dance with Dragons", 2, 3, 2011),
+    ("Fire & Blood", 2, 2, 2018),
+    ("The World of Ice & Fire", 2, 1, 2014),
+]
 
 
 def flow_nodes(spark: SparkSession) -> DataFrame:
@@ -23,10 +48,10 @@ def flows(spark: SparkSession) -> DataFrame:
 
 
 def seed_library(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """SC3: authors (id, name) and books (id, title, author_id, copies); ids are numbers of place, not random."""
-    authors = spark.createDataFrame([(f"a{i}", f"Author {i}") for i in range(1, 4)], "id string, name string")
-    books = [(f"b{i}-{k}", f"Book {i}.{k}", f"a{i}", n) for i, own in enumerate(COPIES, 1) for k, n in enumerate(own, 1)]
-    return authors, spark.createDataFrame(books, "id string, title string, author_id string, copies int")
+    """SC3: authors (id, name, birth_year) and books (id, title, author_id, copies, publication_year); ids tell the place, they are not random."""
+    authors = spark.createDataFrame([(f"a{i}", *a) for i, a in enumerate(AUTHORS, 1)], "id string, name string, birth_year int")
+    books = [(f"b{k}", title, f"a{i + 1}", n, year) for k, (title, i, n, year) in enumerate(BOOKS, 1)]
+    return authors, spark.createDataFrame(books, "id string, title string, author_id string, copies int, publication_year int")
 
 
 def seed_summary(spark: SparkSession) -> DataFrame:
