@@ -115,6 +115,13 @@ def test_distribution_ties(spark):
     assert rows(distribution.entropy(flat, ["g"], "v"))[0][1] == pytest.approx(2.0)
 
 
+def test_range_weights_with_gaps(spark, monkeypatch):
+    monkeypatch.setattr(stats, "PLACES", 4)
+    balls = spark.createDataFrame([(1, 2), (5, 3), (5, 4), (9, 1)], "p bigint, w bigint")
+    ranges = spark.createDataFrame([(1, 9), (2, 4), (4, 6), (6, 100), (-3, 0)], "low bigint, high bigint")
+    assert sorted(rows(stats.range_weights(balls, ranges, "p", "w"))) == [(-3, 0, 0), (1, 9, 10), (2, 4, 0), (4, 6, 7), (6, 100, 1)]
+
+
 def test_statistics(spark):
     log = spark.createDataFrame([("a", 1.0, True), ("a", 3.0, True), ("a", 9.0, False)], "k string, t double, ok boolean")
     assert rows(stats.request_stats(log, "t", F.col("ok"))) == [(3, 2, 1, 66.6667, 2.0, 1.0, 3.0)]

@@ -70,9 +70,17 @@ def assign_games(players: DataFrame, assigned: DataFrame, player: str, game: str
 
 
 def numbered_from_zero(df: DataFrame, key: str) -> DataFrame:
-    """df with _n, its place in key order from 0: ranges are sorted apart, and each counts on from the sizes of those before it."""
-    ranged = df.repartitionByRange(key).withColumn("_p", F.spark_partition_id())
+    """df with _n, its place in key order from 0: ranges are sorted apart, and each counts on from the sizes of those before it.
+
+    The bounds of the ranges come from a sample, so the ranges are settled before they are used twice.
+    """
+    ranged = settled(df.repartitionByRange(key).withColumn("_p", F.spark_partition_id()))
     sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_size"))
     before = sizes.select("_p", (F.sum("_size").over(Window.orderBy("_p")) - F.col("_size")).alias("_before"))
     inner = F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1
     return ranged.withColumn("_k", inner).join(F.broadcast(before), "_p").withColumn("_n", F.col("_before") + F.col("_k")).drop("_p", "_k", "_before")  # a row a partition
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df with rows that no longer change: in the checkpoint folder if the session has one, else kept in memory and on disk."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()

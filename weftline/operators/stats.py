@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Places of a block of prefix sums.
+PLACES = 1 << 20
+
+
 def request_stats(log: DataFrame, seconds: str, ok: Column, by: list[str] | None = None) -> DataFrame:
     """AG4, AG27: totals, failures, share of successes, and mean, least and greatest time of successes only (null if none)."""
     time = F.when(ok, F.col(seconds))
@@ -56,9 +60,14 @@ def range_weights(balls: DataFrame, ranges: DataFrame, place: str, weight: str)
     """AG26: weight of the balls of each range (low, high; both ends included).
 
     Prefix sums at the two ends do it, so a ball meets no range but those it bounds; 0 for
-    an empty range. Prefix sums are taken over the places, which number the balls.
+    an empty range. Places are whole numbers; sums run within blocks of them, and over
+    the blocks' own sums. The ends of the ranges are places without weight.
     """
-    total = balls.groupBy(F.col(place).alias("p")).agg(F.sum(weight).alias("w"))
-    sums = total.withColumn("s", F.sum("w").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)))
+    ends = ranges.select(F.explode(F.array(F.col("low") - 1, F.col("high"))).alias("p"), F.lit(0).alias("w"))
+    total = balls.select(F.col(place).alias("p"), F.col(weight).alias("w")).unionByName(ends).groupBy("p").agg(F.sum("w").alias("w")).withColumn("block", F.floor(F.col("p") / PLACES))
+    blocks = total.groupBy("block").agg(F.sum("w").alias("b"))
+    blocks = blocks.select("block", (F.sum("b").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("b")).alias("_base"))
+    inner = F.sum("w").over(Window.partitionBy("block").orderBy("p").rowsBetween(Window.unboundedPreceding, 0))
+    sums = total.withColumn("s", inner).join(blocks, "block").withColumn("s", F.col("s") + F.col("_base"))
     low, high = sums.select((F.col("p") + 1).alias("low"), F.col("s").alias("_before")), sums.select(F.col("p").alias("high"), F.col("s").alias("_upto"))
     return ranges.join(low, "low", "left").join(high, "high", "left").select("low", "high", (F.coalesce("_upto", F.lit(0)) - F.coalesce("_before", F.lit(0))).alias("weight"))
