@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,3 +66,19 @@ def join_one(many: DataFrame, one: DataFrame, key: str, count: str, total: int,
         return inner
     light = many.join(F.broadcast(heavy.select(key)), key, "left_anti")
     return many.join(here, key).unionByName(light.join(rest, key, "left"))
+
+
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, giving freed memory back when its rows end: a Python worker lives on from stage to stage and would keep it."""
+
+    def whole(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return whole

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import table
+from weftline.llm.common import table, trimmed
 
 SEED, MIN_TILE, COVERAGE = 5, 4, 0.5
 BLOCK_TOKENS = 2_000_000
@@ -58,8 +58,7 @@ def tiles(doc: np.ndarray, item: np.ndarray, least: int = MIN_TILE) -> list[tupl
     found, length = [], len(item)
     while length >= least:
         # Runs of this length that are free on both sides and hash alike, in the order of the document.
-        open_doc = np.flatnonzero(np.convolve(free_doc, np.ones(length, int), "valid") == length) if len(doc) >= length else np.empty(0, int)
-        open_item = np.flatnonzero(np.convolve(free_item, np.ones(length, int), "valid") == length)
+        open_doc, open_item = _free_runs(free_doc, length), _free_runs(free_item, length)
         best: list[tuple[int, int, int]] = []
         if len(open_doc) and len(open_item):
             of_item: dict[int, list[int]] = {}
@@ -81,6 +80,12 @@ def tiles(doc: np.ndarray, item: np.ndarray, least: int = MIN_TILE) -> list[tupl
     return found
 
 
+def _free_runs(free: np.ndarray, length: int) -> np.ndarray:
+    """Places from which so many tokens are free."""
+    before = np.concatenate([[0], np.cumsum(free)])
+    return np.flatnonzero(before[length:] - before[:-length] == length)
+
+
 def _longest_run(free: np.ndarray) -> int:
     edges = np.flatnonzero(np.diff(np.concatenate([[0], free.astype(np.int8), [0]])))
     return int((edges[1::2] - edges[::2]).max()) if len(edges) else 0
@@ -158,7 +163,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
                     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.string()]
                     yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], [c.split()[0] for c in SCHEMA.split(", ")])
 
-        part = src.mapInArrow(run, SCHEMA)
+        part = src.mapInArrow(trimmed(run), SCHEMA)
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], SCHEMA) if out is None else out
 
@@ -181,7 +186,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, text_col: str = "text", ite
                         clean.append(all(sum(n for _, _, n in tiles(ids, block.items[k], least)) < coverage * len(block.items[k]) for k in block.candidates(ids)))
                     yield batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(run, schema)
+        docs = docs.mapInArrow(trimmed(run), schema)
     return docs
 
 

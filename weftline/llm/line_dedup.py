@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import join_one, materialise, row_key, table
+from weftline.llm.common import join_one, materialise, row_key, table, trimmed
 
 MIN_WORDS = 5
 BREAKS = {"line": r"\n", "paragraph": r"\n[\x20\x09\x0B-\x0D]*\n\s*"}
@@ -56,7 +56,7 @@ def repeated_units(own: DataFrame, unit: str = "line", min_words: int = MIN_WORD
                 digest = pa.ListArray.from_arrays(ends, pa.array([x for _, d, _ in each for x in d], pa.binary()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), place, digest], ["_id", "_key", "place", "digest"])
 
-    listed = own.select("_id", "_key", "_text").mapInArrow(found, "_id bigint, _key string, place array<int>, digest array<binary>")
+    listed = own.select("_id", "_key", "_text").mapInArrow(trimmed(found), "_id bigint, _key string, place array<int>, digest array<binary>")
     listed = materialise(listed.where(F.size("place") > 0), "units")
     rank = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_key").alias("key"), F.col("x.place").alias("place"))
     each = listed.select("_id", "_key", F.explode(F.arrays_zip("place", "digest")).alias("x")).select(F.col("x.digest").alias("digest"), rank.alias("rank"))
@@ -101,7 +101,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([*cols, *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string())))], [*names, *made.names])
 
     joined = own.join(cut, "_key", "left").select(*(f"`{c}`" for c in dict.fromkeys([*names, text_col])), "cut")
-    return joined.mapInArrow(finish, T.StructType([*carried, *made]))
+    return joined.mapInArrow(trimmed(finish), T.StructType([*carried, *made]))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import SPACE_RE, table
+from weftline.llm.common import SPACE_RE, table, trimmed
 
 ORDER, BACKOFF = 3, 0.4
 #: Tokens of a chunk, and entries of a hash range, on average.
@@ -121,7 +121,7 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", or
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["chunk", "ids", "sizes", "pack"])
 
-    chunks = dealt.mapInArrow(packed, "chunk bigint, ids array<bigint>, sizes array<bigint>, pack binary")
+    chunks = dealt.mapInArrow(trimmed(packed), "chunk bigint, ids array<bigint>, sizes array<bigint>, pack binary")
     bounds = np.array([(k << 64) // n_ranges for k in range(1, n_ranges)], np.uint64)
 
     def entries(chunk: pa.Table) -> tuple[list, np.ndarray, list, np.ndarray, np.ndarray]:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import SPACE, join_one, materialise, table
+from weftline.llm.common import SPACE, join_one, materialise, table, trimmed
 from weftline.llm.components import components
 
 WORDS = 5
@@ -51,7 +51,7 @@ BLOCK_TOKENS, BLOCK_SETS = 2_000_000, 4096
 #: Row keys up to this number are broadcast (8 bytes each), more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 #: Word hashes that a worker keeps (about 150 bytes each), and shingles of rows whose frequent ones are counted together.
-MEMO, TOGETHER = 200_000, 3_000_000
+MEMO, TOGETHER = 100_000, 1_500_000
 K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -130,7 +130,7 @@ def _map_sets(docs: DataFrame, schema: str, one, n: int, rows: int = 2000) -> Da
                 kinds = {"array<bigint>": _lists, "bigint": lambda v: pa.array(v, pa.int64()), "int": lambda v: pa.array(v, pa.int32()), "binary": lambda v: pa.array(v, pa.binary())}
                 yield pa.RecordBatch.from_arrays([kinds[c.split()[1]](list(v)) for c, v in zip(schema.split(", "), cols, strict=True)], names)
 
-    return docs.select("_id", "_key", "_text").mapInArrow(run, schema)
+    return docs.select("_id", "_key", "_text").mapInArrow(trimmed(run), schema)
 
 
 def _described(words: int):
@@ -276,7 +276,7 @@ def _links_in_blocks(rows: DataFrame, keys: list[str], similar: int) -> DataFram
         out += done(group)
         yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], ["a", "b"])
 
-    return rows.select(*keys, "sid", "ask", "tokens").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint")
+    return rows.select(*keys, "sid", "ask", "tokens").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(trimmed(run), "a bigint, b bigint")
 
 
 def _with_tokens(own: DataFrame, asked: DataFrame, words: int) -> DataFrame:
@@ -341,7 +341,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_key"), F.col(text_col).alias("_text"))
 
     schema = "_id bigint, _key bigint, sid bigint, n int, sig binary, seeds array<bigint>, often array<bigint>, times array<int>"
-    told = materialise(own.mapInArrow(_described(words), schema), "sets")
+    told = materialise(own.mapInArrow(trimmed(_described(words)), schema), "sets")
     every = told.where("n >= 0")
     some = every.where("sid is not null")
     classes = materialise(some.groupBy("sid").agg(F.min("_key").alias("rep"), F.count(F.lit(1)).alias("c"), F.min("_id").alias("least"), F.first("n").alias("n")), "classes")
@@ -395,7 +395,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             keep = [(100 + similar) * _bounded(x, y) <= (100 - similar) * (m + n) for x, y, m, n in zip(d["sig_a"], d["sig_b"], d["n_a"], d["n_b"], strict=True)]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in (batch.column(batch.schema.get_field_index(n)) for n in ("sid_a", "sid_b", "n_a", "n_b"))], ["sid_a", "sid_b", "n_a", "n_b"])
 
-    pairs = materialise(pairs.select("sid_a", "sid_b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(bounded, "sid_a bigint, sid_b bigint, n_a int, n_b int"), "pairs")
+    pairs = materialise(pairs.select("sid_a", "sid_b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(trimmed(bounded), "sid_a bigint, sid_b bigint, n_a int, n_b int"), "pairs")
 
     # Classes that a pair or a long list brings together form a cluster; its sets are compared whole, each sent once.
     long = lists.where(F.col("m") > SHORT)

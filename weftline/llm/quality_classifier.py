@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import table
+from weftline.llm.common import table, trimmed
 
 MAX_LABELLED, MAX_POOL = 8000, 4000
 #: Hash buckets of words; words that the text view uses at most, and how far their share must differ between the classes (in standard errors).
@@ -41,7 +41,7 @@ ROUNDS, SURE, ADDED = 4, 0.95, 0.05
 REJECTED_GOOD, HELD_OUT = 0.002, 4
 STATS, META = 10, 160
 #: Words whose buckets a worker keeps (about 150 bytes each).
-KEPT_WORDS = 200_000
+KEPT_WORDS = 100_000
 
 
 class Words(dict):
@@ -105,8 +105,8 @@ class Logistic:
 class CoTrained:
     """The two views, their calibration, and the threshold; small enough for every task."""
 
-    def __init__(self, chosen: np.ndarray, text: Logistic, meta: Logistic, joint: Logistic, threshold: float):
-        self.text, self.meta, self.joint, self.threshold = text, meta, joint, threshold
+    def __init__(self, chosen: np.ndarray, text: Logistic, meta: Logistic, joint: list[tuple[float, float]], threshold: float):
+        self.text, self.meta, self.joint, self.threshold = text, meta, joint, threshold  # joint: see combined()
         self.words = np.zeros(BUCKETS, np.float64)
         self.words[chosen] = text.w[: len(chosen)]
         self.stats, self.bias = text.w[len(chosen) : len(chosen) + STATS], text.w[-1]
@@ -115,14 +115,31 @@ class CoTrained:
         """Margins of both views and the combined probability."""
         a = float(self.words[buckets].sum() + self.stats @ stats + self.bias)
         b = float(self.meta.w[meta].sum() + self.meta.w[-1])
-        z = float(self.joint.margin(squash(np.array([[a, b]])))[0])
-        return a, b, 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+        return a, b, float(combined(self.joint, np.array([[a, b]]))[0])
 
 
 def squash(margins: np.ndarray) -> np.ndarray:
     return np.clip(margins, -12, 12)
 
 
+def calibrated(margins: np.ndarray, y: np.ndarray) -> list[tuple[float, float]]:
+    """Slope (not below 0) and offset of each view's log odds, and at last the prior's log odds."""
+    prior = math.log((y.sum() + 1) / (len(y) - y.sum() + 1))
+    out = []
+    for v in range(margins.shape[1]):
+        m = Logistic(0.1).fit(margins[:, v : v + 1], y)
+        out.append((float(m.w[0]), float(m.w[1])) if m.w[0] > 0 else (0.0, prior))
+    return [*out, (0.0, prior)]
+
+
+def combined(joint: list[tuple[float, float]], margins: np.ndarray) -> np.ndarray:
+    """Probability of good: the views' calibrated log odds, added, the prior counted once."""
+    *views, (_, prior) = joint
+    m = squash(margins)
+    z = sum(slope * m[:, v] + offset for v, (slope, offset) in enumerate(views)) - prior * (len(views) - 1)
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 def _matrix(rows: list, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Design matrices of the two views."""
     at = np.full(BUCKETS, -1)
@@ -179,8 +196,8 @@ def co_train(rows: list, y: np.ndarray, pool: list, rounds: int = ROUNDS) -> CoT
                 if p[i] <= 1 - SURE:
                     extra[1 - v][i] = 0.0
     both = squash(np.column_stack([models[v].margin(views[v][check]) for v in (0, 1)]))
-    joint = Logistic(0.1).fit(both, y[check])
-    score = 1 / (1 + np.exp(-np.clip(joint.margin(both), -30, 30)))
+    joint = calibrated(both, y[check])
+    score = combined(joint, both)
     good = np.sort(score[y[check] == 1])
     threshold = min(0.5, float(good[int(REJECTED_GOOD * len(good))]))
     return CoTrained(chosen, models[0], models[1], joint, threshold)
@@ -198,7 +215,7 @@ def _collected(df: DataFrame) -> tuple[list, np.ndarray]:
                 cols = [pa.array([e[k].tolist() for e in each], kind) for k, kind in enumerate((pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.int32())))]
                 yield pa.RecordBatch.from_arrays([pa.array(d["_rank"], pa.int64()), pa.array(d["y"], pa.int32()), *cols], ["_rank", "y", "words", "stats", "meta"])
 
-    got = df.select("_text", "_lang", "_source", "_n", "_rank", "y").mapInArrow(run, "_rank bigint, y int, words array<int>, stats array<double>, meta array<int>").toPandas().sort_values("_rank", kind="stable")
+    got = df.select("_text", "_lang", "_source", "_n", "_rank", "y").mapInArrow(trimmed(run), "_rank bigint, y int, words array<int>, stats array<double>, meta array<int>").toPandas().sort_values("_rank", kind="stable")
     return [(np.asarray(w, np.int64), np.asarray(s, np.float64), np.asarray(m, np.int64)) for w, s, m in zip(got["words"], got["stats"], got["meta"], strict=True)], got["y"].to_numpy(np.int64)
 
 
@@ -237,12 +254,15 @@ def classify(docs: DataFrame, model: CoTrained | None, with_text: bool = True) -
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_text", "_lang", "_source", "_n")]
+                cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in seen]
                 out = [m.score(*features(*x, memo)) if m else (0.0, 0.0, 1.0) for x in zip(*cols, strict=True)]
                 kept = [s >= m.threshold if m else True for _, _, s in out]
                 yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), *(pa.array([x[k] for x in out], pa.float64()) for k in range(3)), pa.array(kept, pa.bool_())], [*names, *made.names])
 
-    return _columns(docs).select(*(f"`{n}`" for n in names), "_text", "_lang", "_source", "_n").mapInArrow(run, T.StructType([*carried, *made]))
+    # What a row brings under its own name is not sent twice.
+    kinds = {f.name: f.dataType for f in carried}
+    seen = [own if kinds.get(own) == kind else put for own, put, kind in (("text", "_text", T.StringType()), ("lang", "_lang", T.StringType()), ("source", "_source", T.StringType()), ("n_chars", "_n", T.LongType()))]
+    return _columns(docs).select(*(f"`{n}`" for n in dict.fromkeys([*names, *seen]))).mapInArrow(trimmed(run), T.StructType([*carried, *made]))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import table
+from weftline.llm.common import table, trimmed
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -264,7 +264,7 @@ def encode(df: DataFrame, text_col: str = "text", model_path: str = MODEL_PATH,
                 yield pa.RecordBatch.from_arrays([*kept, *cols.values()], [*names, *cols])
 
     src = df.select(*dict.fromkeys([*(f"`{n}`" for n in names), f"`{text_col}`"]))
-    return src.mapInArrow(run, T.StructType([*carried, *made]))
+    return src.mapInArrow(trimmed(run), T.StructType([*carried, *made]))
 
 
 def decode(df: DataFrame, ids_col: str = "ids", model_path: str = MODEL_PATH, out_col: str = "decoded") -> DataFrame:

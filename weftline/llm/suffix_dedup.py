@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import join_one, materialise, row_key, table
+from weftline.llm.common import join_one, materialise, row_key, table, trimmed
 
 LENGTH, GRAM = 400, 100
 #: k-grams in a window: an anchor lies at most SPAN - 1 bytes behind its windows' starts.
@@ -296,7 +296,7 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(own: DataFrame) -> DataFrame:
     """_key, cuts (array of s, e; not merged) of documents own (_key, _text) that have a repeated string."""
-    found = materialise(own.select("_key", "_text").mapInArrow(_anchored, "_key string, place array<int>, first array<int>, last array<int>, h array<bigint>").where(F.size("h") > 0), "anchors")
+    found = materialise(own.select("_key", "_text").mapInArrow(trimmed(_anchored), "_key string, place array<int>, first array<int>, last array<int>, h array<bigint>").where(F.size("h") > 0), "anchors")
     twice = found.select(F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     zipped = F.explode(F.arrays_zip("place", "first", "last", "h"))
     total = materialise(twice, "twice")
@@ -304,16 +304,16 @@ def repeated_spans(own: DataFrame) -> DataFrame:
     left = join_one(found.select("_key", zipped.alias("x")).select("_key", "x", F.col("x.h").alias("h")), total, "h", "c", rows)
     by_doc = left.groupBy("_key").agg(F.collect_set("x").alias("found"))
     met = own.join(by_doc, "_key").select("_key", "_text", "found")
-    cut = materialise(met.mapInArrow(_contexts, "_key string, place int, first int, last int, h bigint, g binary, context binary"), "contexts")
+    cut = materialise(met.mapInArrow(trimmed(_contexts), "_key string, place int, first int, last int, h bigint, g binary, context binary"), "contexts")
 
     kinds = materialise(cut.groupBy("g").agg(F.count(F.lit(1)).alias("c"), F.first("h").alias("h"), F.first(F.col("place") - F.col("first")).alias("behind"), F.first("context").alias("context")), "kinds")
     sizes = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     many = materialise(sizes, "sizes")
     paired = join_one(kinds, many, "h", "m", kinds.count())
     small = paired.where(F.col("m") <= GROUP).select("h", "g", "behind", "context").repartition("h").sortWithinPartitions("h")
-    judged = small.mapInArrow(_sorted_groups, "g binary, low int, high int")
+    judged = small.mapInArrow(trimmed(_sorted_groups), "g binary, low int, high int")
     if not many.where(F.col("m") > GROUP).isEmpty():
-        windows = materialise(paired.where(F.col("m") > GROUP).select("h", "g", "behind", "context").mapInArrow(_windows, "g binary, d int, w binary"), "windows")
+        windows = materialise(paired.where(F.col("m") > GROUP).select("h", "g", "behind", "context").mapInArrow(trimmed(_windows), "g binary, d int, w binary"), "windows")
         again = windows.groupBy("w").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
         hit = join_one(windows, materialise(again, "again"), "w", "c", windows.count())
         judged = judged.unionByName(hit.groupBy("g").agg(F.min("d").alias("low"), F.max("d").alias("high")))
@@ -330,7 +330,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """A row for each document: id, n_bytes, n_removed, n_spans, kept_sha256, spans (start:end of removed runs, bytes)."""
     own = docs.select(F.col(id_col).cast("long").alias("_id"), row_key(id_col, text_col).alias("_key"), F.col(text_col).alias("_text"))
     # Rows alike in id and text are counted as documents of their own by their number.
-    out = own.join(repeated_spans(own), "_key", "left").select("_id", "_text", "cuts").mapInArrow(_finish, "_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans string")
+    out = own.join(repeated_spans(own), "_key", "left").select("_id", "_text", "cuts").mapInArrow(trimmed(_finish), "_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans string")
     return out.withColumnRenamed("_id", id_col)
 
 
