@@ -22,7 +22,7 @@ def words(n):
 
 def test_lines_keep_the_earliest(spark):
     rows = [(2, "a b c d e\nshort\nA  b c\td e\nz z z z z"), (1, "x y z u v\na b c d e"), (None, "x y z u v\r\nonly here one two"), (3, None), (4, ""), (1, "x y z u v\na b c d e")]
-    docs = spark.createDataFrame(rows, SCHEMA).withColumn("removed", F.lit("clash"))
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("removed", F.lit("clash")).withColumn("cut", F.lit("clash")).withColumn("_key", F.lit("clash"))
     got = sorted(((r.doc_id is None, r.doc_id), r.text, r.n_removed, r.removed) for r in line_dedup.substring_dedup(docs).collect())
     assert [g[1:] for g in got] == [("x y z u v\na b c d e", 0, "")] * 2 + [("short\nz z z z z", 2, "0:9,16:26")] + [(None, 0, "")] + [("", 0, "")] + [("only here one two", 1, "0:10")]
     assert line_dedup.substring_dedup(docs.where("false")).count() == 0
@@ -143,7 +143,8 @@ def test_ngram_join(spark, monkeypatch, short, block):
 
 def test_keep_one(spark):
     rows = near_rows()
-    kept = ngram_join.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()
+    kept = ngram_join.keep_one(spark.createDataFrame(rows, SCHEMA).withColumn("_key", F.lit("clash"))).collect()
+    assert {r._key for r in kept} == {"clash"}
     groups = truth(rows)
     alone = [r for r in groups if r[1] == 0]
     assert len(kept) == len(alone) + len({r[2] for r in groups if r[1] and r[2] is not None}) + 1  # one group has no id at all

@@ -186,7 +186,7 @@ def test_classifier_on_held_out_rows(spark):
 
 
 def test_classifier_edges(spark):
-    docs = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, "x " * 50000, "de", "t", 100000)], "doc_id bigint, text string, lang string, source string, n_chars bigint").withColumn("score", F.lit("clash"))
+    docs = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, "x " * 50000, "de", "t", 100000)], "doc_id bigint, text string, lang string, source string, n_chars bigint").withColumn("score", F.lit("clash")).withColumn("_text", F.lit("clash"))
     labels = spark.createDataFrame([(1, 1, None), (1, 0, 0), (None, 1, 0), (2, None, 1)], "doc_id bigint, quality int, toxic int")
     model = quality_classifier.fit(docs, labels)
     assert model is None

@@ -79,7 +79,7 @@ def test_weak_parts_alone_are_not_reported(spark):
 
 
 def test_redaction_keeps_the_rest(spark):
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], SCHEMA).withColumn("_key0", F.lit(1))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], SCHEMA).withColumn("_key", F.lit(1)).withColumn("linked", F.lit(2))
     for r in secret_scan.redact(docs).collect():
         t = TEXTS[r.doc_id]
         base = base_spans(t)
@@ -88,7 +88,7 @@ def test_redaction_keeps_the_rest(spark):
             if s >= at:
                 want += t[at:s] + "[SECRET]"
             at = max(at, e)
-        assert r.text == (want + t[at:] if spans else t)
+        assert r.text == (want + t[at:] if spans else t) and (r._key, r.linked) == (1, 2)
 
 
 URLS = [None, "", "no scheme", "http://", "HTTP://A.NET/x", "http://net", "http://net/", "http://b.example.net/en/1", "http://xexample.net/en/1", "http://example.com/de/1?x", "http://a.example.com/de", "ftp://org/fr/", "http://o.org/fr/x#y", "a://b.net://c/", "http://example.net:80/en/", "http://net?x/", "http://É.ORG/fr/"]

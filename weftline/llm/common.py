@@ -32,7 +32,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: lineage ends here, and the rows survive executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weftline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

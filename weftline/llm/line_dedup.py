@@ -81,8 +81,8 @@ def cut_units(text: str, cut: list[int], unit: str) -> tuple[str, list[tuple[int
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", min_words: int = MIN_WORDS, with_text: bool = True) -> DataFrame:
     """docs with n_units, n_removed, removed (start:end of each removed unit), kept_sha256, and text_col without them (left out if with_text is False)."""
-    own = docs.withColumns({"_id": F.col(id_col).cast("long"), "_key": row_key(id_col, text_col)})
-    cut = repeated_units(own.withColumn("_text", F.col(text_col)), unit, min_words)
+    own = docs.select(F.col(id_col).cast("long").alias("_id"), row_key(id_col, text_col).alias("_key"), F.col(text_col).alias("_text"))
+    cut = repeated_units(own, unit, min_words).select(F.col("_key").alias("_wl_key"), F.col("cut").alias("_wl_cut"))
     made = T.StructType([T.StructField("n_units", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.StringType()), T.StructField("kept_sha256", T.StringType())])
     carried = [f for f in docs.schema if f.name not in made.names and (with_text or f.name != text_col)]
     names = [f.name for f in carried]
@@ -91,7 +91,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                texts, cuts = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (text_col, "cut"))
+                texts, cuts = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (text_col, "_wl_cut"))
                 new, rows = [], []
                 for text, gone in zip(texts, cuts, strict=True):
                     kept, spans = cut_units(text, gone, unit) if gone else (text, [])
@@ -100,7 +100,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 cols = [pa.array(new, pa.string()) if n == text_col else batch.column(batch.schema.get_field_index(n)) for n in names]
                 yield pa.RecordBatch.from_arrays([*cols, *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string())))], [*names, *made.names])
 
-    joined = own.join(cut, "_key", "left").select(*(f"`{c}`" for c in dict.fromkeys([*names, text_col])), "cut")
+    joined = docs.withColumn("_wl_key", row_key(id_col, text_col)).join(cut, "_wl_key", "left").select(*(f"`{c}`" for c in dict.fromkeys([*names, text_col])), "_wl_cut")
     return joined.mapInArrow(trimmed(finish), T.StructType([*carried, *made]))
 
 

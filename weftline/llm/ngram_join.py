@@ -423,16 +423,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     chosen = marked.where("group_id is not null").groupBy("group_id").agg(first.alias("x")).select(F.col("x.key").alias("_key"), F.col("x.id").alias("_id"))
     rows = marked.where("group_id is not null").groupBy("_key", F.col(id_col).alias("_id")).agg(F.count(F.lit(1)).alias("c"))
     chosen = materialise(chosen.join(rows, (chosen["_key"] == rows["_key"]) & chosen["_id"].eqNullSafe(rows["_id"])).select(chosen["_key"], chosen["_id"], "c"), "chosen")
-    keyed = docs.withColumns({"_key": F.xxhash64(F.col(id_col), F.col(text_col)), "_own": F.col(id_col).cast("long")})
+    keyed = docs.withColumns({"_wl_key": F.xxhash64(F.col(id_col), F.col(text_col)), "_wl_id": F.col(id_col).cast("long")})
     wordless = keyed.where(F.coalesce(F.length(F.translate(text_col, SPACE, "")), F.lit(0)) == 0)
 
     def met(keys: DataFrame) -> DataFrame:
         keys = keys.select("_key", "_id")
         keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-        return keyed.join(keys, (keyed["_key"] == keys["_key"]) & keyed["_own"].eqNullSafe(keys["_id"]), "left_semi")
+        return keyed.join(keys, (keyed["_wl_key"] == keys["_key"]) & keyed["_wl_id"].eqNullSafe(keys["_id"]), "left_semi")
 
     names = [f"`{c}`" for c in docs.columns]
-    single, several = met(chosen.where("c = 1")), met(chosen.where("c > 1")).dropDuplicates(["_key"])
+    single, several = met(chosen.where("c = 1")), met(chosen.where("c > 1")).dropDuplicates(["_wl_key"])
     return single.select(names).unionByName(several.select(names)).unionByName(wordless.select(names))
 
 

@@ -204,42 +204,42 @@ def co_train(rows: list, y: np.ndarray, pool: list, rounds: int = ROUNDS) -> CoT
 
 
 def _collected(df: DataFrame) -> tuple[list, np.ndarray]:
-    """Features and labels of few rows: _text, _lang, _source, _n, y."""
+    """Features and labels of few rows: _wl_text, _wl_lang, _wl_source, _wl_n, _wl_rank, y."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Words()
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 d = whole.slice(at, 500).to_pydict()
-                each = [features(*x, memo) for x in zip(d["_text"], d["_lang"], d["_source"], d["_n"], strict=True)]
+                each = [features(*x, memo) for x in zip(d["_wl_text"], d["_wl_lang"], d["_wl_source"], d["_wl_n"], strict=True)]
                 cols = [pa.array([e[k].tolist() for e in each], kind) for k, kind in enumerate((pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.int32())))]
-                yield pa.RecordBatch.from_arrays([pa.array(d["_rank"], pa.int64()), pa.array(d["y"], pa.int32()), *cols], ["_rank", "y", "words", "stats", "meta"])
+                yield pa.RecordBatch.from_arrays([pa.array(d["_wl_rank"], pa.int64()), pa.array(d["y"], pa.int32()), *cols], ["_wl_rank", "y", "words", "stats", "meta"])
 
-    got = df.select("_text", "_lang", "_source", "_n", "_rank", "y").mapInArrow(trimmed(run), "_rank bigint, y int, words array<int>, stats array<double>, meta array<int>").toPandas().sort_values("_rank", kind="stable")
+    got = df.select("_wl_text", "_wl_lang", "_wl_source", "_wl_n", "_wl_rank", "y").mapInArrow(trimmed(run), "_wl_rank bigint, y int, words array<int>, stats array<double>, meta array<int>").toPandas().sort_values("_wl_rank", kind="stable")
     return [(np.asarray(w, np.int64), np.asarray(s, np.float64), np.asarray(m, np.int64)) for w, s, m in zip(got["words"], got["stats"], got["meta"], strict=True)], got["y"].to_numpy(np.int64)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> CoTrained | None:
     """Co-train on documents (doc_id, text, lang, source, n_chars) and labels (doc_id, quality, toxic)."""
     good = ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) != 1)).cast("int")
-    told = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("_id"), good.alias("y")).groupBy("_id").agg(F.min("y").alias("y"), F.max("y").alias("_y")).where("y = _y").select("_id", "y")
-    rank = F.xxhash64("_id", F.lit(6)).alias("_rank")
-    some = told.select("*", rank).orderBy("_rank").limit(max_labelled)
-    own = _columns(docs).select(F.col("_id"), "_text", "_lang", "_source", "_n")
-    rows, y = _collected(own.join(F.broadcast(some), "_id").dropDuplicates(["_id"]))
+    told = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("_wl_id"), good.alias("y")).groupBy("_wl_id").agg(F.min("y").alias("y"), F.max("y").alias("_y")).where("y = _y").select("_wl_id", "y")
+    rank = F.xxhash64("_wl_id", F.lit(6)).alias("_wl_rank")
+    some = told.select("*", rank).orderBy("_wl_rank").limit(max_labelled)
+    own = _columns(docs).select(F.col("_wl_id"), "_wl_text", "_wl_lang", "_wl_source", "_wl_n")
+    rows, y = _collected(own.join(F.broadcast(some), "_wl_id").dropDuplicates(["_wl_id"]))
     # The pool: rows of least hash that are not among the labelled ones chosen; a coarse cut of the hash spares sorting all texts.
     n = max(1, docs.count())
-    cut = F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(max(1, n // (2 * max_pool))))
-    pool = own.where("_id is not null").where(cut == 0).join(F.broadcast(some.select("_id")), "_id", "left_anti")
-    keys = pool.select("_id", rank).distinct().orderBy("_rank").limit(max_pool)
-    spare, _ = _collected(pool.join(F.broadcast(keys), "_id").dropDuplicates(["_id"]).withColumn("y", F.lit(0)))
+    cut = F.pmod(F.xxhash64("_wl_id", F.lit(7)), F.lit(max(1, n // (2 * max_pool))))
+    pool = own.where("_wl_id is not null").where(cut == 0).join(F.broadcast(some.select("_wl_id")), "_wl_id", "left_anti")
+    keys = pool.select("_wl_id", rank).distinct().orderBy("_wl_rank").limit(max_pool)
+    spare, _ = _collected(pool.join(F.broadcast(keys), "_wl_id").dropDuplicates(["_wl_id"]).withColumn("y", F.lit(0)))
     return co_train(rows, y, spare)
 
 
 def _columns(docs: DataFrame) -> DataFrame:
     have = dict(docs.dtypes)
     col = lambda name, kind: (F.col(name) if name in have else F.lit(None)).cast(kind)
-    return docs.select("*", col("doc_id", "long").alias("_id"), col("text", "string").alias("_text"), col("lang", "string").alias("_lang"), col("source", "string").alias("_source"), col("n_chars", "long").alias("_n"))
+    return docs.select("*", col("doc_id", "long").alias("_wl_id"), col("text", "string").alias("_wl_text"), col("lang", "string").alias("_wl_lang"), col("source", "string").alias("_wl_source"), col("n_chars", "long").alias("_wl_n"))
 
 
 def classify(docs: DataFrame, model: CoTrained | None, with_text: bool = True) -> DataFrame:
@@ -261,7 +261,7 @@ def classify(docs: DataFrame, model: CoTrained | None, with_text: bool = True) -
 
     # What a row brings under its own name is not sent twice.
     kinds = {f.name: f.dataType for f in carried}
-    seen = [own if kinds.get(own) == kind else put for own, put, kind in (("text", "_text", T.StringType()), ("lang", "_lang", T.StringType()), ("source", "_source", T.StringType()), ("n_chars", "_n", T.LongType()))]
+    seen = [own if kinds.get(own) == kind else put for own, put, kind in (("text", "_wl_text", T.StringType()), ("lang", "_wl_lang", T.StringType()), ("source", "_wl_source", T.StringType()), ("n_chars", "_wl_n", T.LongType()))]
     return _columns(docs).select(*(f"`{n}`" for n in dict.fromkeys([*names, *seen]))).mapInArrow(trimmed(run), T.StructType([*carried, *made]))
 
 

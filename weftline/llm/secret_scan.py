@@ -132,16 +132,16 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
     documents that have any meet the join; the rest pass straight through.
     """
     spans = scan(docs, id_col, text_col)
-    all_spans = spans.select("_key", _union("base", "linked").alias("_spans")).where(F.size("_spans") > 0).dropDuplicates(["_key"])
-    keyed = docs.withColumn("_key", row_key(id_col, text_col))
+    all_spans = spans.select(F.col("_key").alias("_wl_key"), _union("base", "linked").alias("_wl_spans")).where(F.size("_wl_spans") > 0).dropDuplicates(["_wl_key"])
+    keyed = docs.withColumn("_wl_key", row_key(id_col, text_col))
     init = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def cut(text: Column, merged: Column) -> Column:
         done = F.aggregate(merged, init, lambda acc, x: F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))).alias("out")))
         return let(done, lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.length(text))))
 
-    joined = keyed.join(all_spans, "_key", "left")
-    new = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(cut(F.coalesce(F.col(text_col), F.lit("")), F.col("_spans")))
+    joined = keyed.join(all_spans, "_wl_key", "left")
+    new = F.when(F.col("_wl_spans").isNull(), F.col(text_col)).otherwise(cut(F.coalesce(F.col(text_col), F.lit("")), F.col("_wl_spans")))
     return joined.withColumn(text_col, new).select(*(f"`{c}`" for c in docs.columns))
 
 
