@@ -20,6 +20,7 @@ gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,8 @@ LENGTH, GRAM = 400, 100
 SPAN = LENGTH - GRAM + 1
 #: Different contexts of an anchor that one task sorts, and contexts sorted together.
 GROUP = 8192
+#: Anchors with more contexts that are broadcast (16 bytes each); more of them are joined by a shuffle.
+BROADCAST_ANCHORS = 1_000_000
 #: Window starts of a long text that are handled at once.
 SEGMENT = 1 << 19
 PLACE = np.uint64((1 << 20) - 1)
@@ -242,6 +245,10 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """Rows (h, g, behind, context) in the order of h: g, low, high of the contexts with a repeated window."""
 
     def done(rows: list[tuple]) -> pa.RecordBatch:
+        times = Counter(r[0] for r in rows)
+        rows = [r for r in rows if times[r[0]] > 1]
+        if not rows:
+            return pa.RecordBatch.from_arrays([pa.array([], pa.binary()), pa.array([], pa.int32()), pa.array([], pa.int32())], ["g", "low", "high"])
         h, g, behind, contexts = zip(*rows, strict=True)
         low, high = Sorted(np.array(h), np.array(behind, np.int64), list(contexts)).repeated()
         hit = np.flatnonzero(low >= 0)
@@ -307,13 +314,15 @@ def repeated_spans(own: DataFrame) -> DataFrame:
     cut = materialise(met.mapInArrow(trimmed(_contexts), "_key string, place int, first int, last int, h bigint, g binary, context binary"), "contexts")
 
     kinds = materialise(cut.groupBy("g").agg(F.count(F.lit(1)).alias("c"), F.first("h").alias("h"), F.first(F.col("place") - F.col("first")).alias("behind"), F.first("context").alias("context")), "kinds")
-    sizes = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    many = materialise(sizes, "sizes")
-    paired = join_one(kinds, many, "h", "m", kinds.count())
-    small = paired.where(F.col("m") <= GROUP).select("h", "g", "behind", "context").repartition("h").sortWithinPartitions("h")
-    judged = small.mapInArrow(trimmed(_sorted_groups), "g binary, low int, high int")
-    if not many.where(F.col("m") > GROUP).isEmpty():
-        windows = materialise(paired.where(F.col("m") > GROUP).select("h", "g", "behind", "context").mapInArrow(trimmed(_windows), "g binary, d int, w binary"), "windows")
+    ways = ["h", "g", "behind", "context"]
+    # Anchors with too many contexts for a task are few; where there are none, no context is moved for them.
+    crowded = materialise(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > GROUP), "crowded")
+    n_crowded = crowded.count()
+    near = F.broadcast(crowded) if n_crowded <= BROADCAST_ANCHORS else crowded
+    small = kinds.join(near, "h", "left_anti") if n_crowded else kinds
+    judged = small.select(ways).repartition("h").sortWithinPartitions("h").mapInArrow(trimmed(_sorted_groups), "g binary, low int, high int")
+    if n_crowded:
+        windows = materialise(kinds.join(near, "h").select(ways).mapInArrow(trimmed(_windows), "g binary, d int, w binary"), "windows")
         again = windows.groupBy("w").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
         hit = join_one(windows, materialise(again, "again"), "w", "c", windows.count())
         judged = judged.unionByName(hit.groupBy("g").agg(F.min("d").alias("low"), F.max("d").alias("high")))
