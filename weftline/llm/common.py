@@ -68,17 +68,26 @@ def join_one(many: DataFrame, one: DataFrame, key: str, count: str, total: int,
     return many.join(here, key).unionByName(light.join(rest, key, "left"))
 
 
+def lean() -> None:
+    """Have the C library return large blocks at once and keep few arenas; without effect where it knows no such settings."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: blocks from 1 MB are mapped, and unmapped when freed
+        libc.mallopt(-8, 2)  # M_ARENA_MAX
+        libc.malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """run, giving freed memory back when its rows end: a Python worker lives on from stage to stage and would keep it."""
 
     def whole(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        lean()
         yield from run(batches)
         pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # another C library
-            pass
+        lean()
 
     return whole

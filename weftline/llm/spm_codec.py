@@ -37,7 +37,7 @@ MARK = "▁"
 CHUNK_CHARS = 400_000
 THREADS = 2
 #: Words whose ids a worker keeps (about 200 bytes each), and words that are encoded in one call.
-KEPT_WORDS, CHUNK_WORDS = 600_000, 20_000
+KEPT_WORDS, CHUNK_WORDS = 400_000, 10_000
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -244,7 +244,7 @@ def encode(df: DataFrame, text_col: str = "text", model_path: str = MODEL_PATH,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(data)
-        for batch in batches:
+        for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
             texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
             for a, b in chunks(texts):
                 own = texts[a:b]
