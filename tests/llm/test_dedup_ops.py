@@ -141,6 +141,58 @@ def test_ngram_join(spark, monkeypatch, short, block):
     assert sorted(got, key=key) == sorted(truth(rows), key=key)
 
 
+def bridged_rows():
+    """A family round one text, and pairs of which one text is similar to that text alone and the other to its partner alone."""
+    base = [f"b{i}" for i in range(120)]
+
+    def changed(*places):
+        w = list(base)
+        for p in places:
+            w[p] = f"n{rnd.random()}"
+        return " ".join(w)
+
+    spots = [(a, b) for a in range(60, 115, 5) for b in range(a + 5, 115, 5)]
+    rows = [" ".join(base)] + [changed(i) for i in range(5, 45)]
+    for a, b in spots[:24]:
+        x = changed(a, b).split()
+        c, d = [p for p in range(60, 115, 5) if p not in (a, b)][:2]
+        rows += [" ".join(x), " ".join("far" + str(rnd.random()) if i in (c, d) else w for i, w in enumerate(x))]
+    return list(enumerate(rows))
+
+
+def test_single_bridges_between_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SHORT", 3)
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 8)
+    rows = bridged_rows()
+    want = truth(rows)
+    assert {c for _, _, c in want} == {0}
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_join(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert sorted(got) == sorted(want)
+
+
+CHAIN = [range(0, 10), range(10, 20), range(2, 14), range(9, 20), range(8, 19), range(8, 18), range(11, 21)]
+
+
+@pytest.mark.parametrize("share", [1.0, 0.5, 0.2])
+def test_connect_asks_what_no_other_set_finds(share):
+    gen = random.Random(17)
+    cases = [[np.arange(r.start, r.stop) for r in CHAIN]]
+    for _ in range(400):
+        spans = {(a, a + gen.choice([9, 10, 10, 11, 12])) for a in (gen.randint(0, 14) for _ in range(12))}
+        cases.append([np.arange(*x) for x in gen.sample(sorted(spans), len(spans))])
+    for sets in cases:
+        m, ask = len(sets), [gen.random() < share for _ in sets]
+        near = [(a, b) for a in range(m) for b in range(a) if ngram_join.similar_sets(len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b]))]
+        want, got = ngram_join.Union(m), ngram_join.Union(m)
+        for a, b in near:
+            if ask[a] or ask[b]:
+                want.join(a, b)
+        for a, b in ngram_join.connect(sets, ask, 80):
+            assert (max(a, b), min(a, b)) in near
+            got.join(a, b)
+        assert all((want.find(a) == want.find(b)) == (got.find(a) == got.find(b)) for a in range(m) for b in range(a))
+
+
 def test_keep_one(spark):
     rows = near_rows()
     kept = ngram_join.keep_one(spark.createDataFrame(rows, SCHEMA).withColumn("_key", F.lit("clash"))).collect()

@@ -5,7 +5,8 @@ the prefixes of their sets (tokens that many sets have are ordered last), whose
 lists are skipped by size and position. In short lists each pair is bounded by
 bucket counts and then compared. In long lists, which only sets made of common
 tokens share, a set's overlaps are derived from those of a highly similar set by
-their difference alone, and a set already connected is not asked again.
+their difference alone, and a set in the largest component is not asked where all
+outside it are.
 
 Shingles are 64-bit hashes of word n-grams, classes 64-bit hashes of sorted sets.
 
@@ -211,7 +212,9 @@ def connect(sets: list[np.ndarray], ask: list[bool], similar: int) -> list[tuple
 
     The overlaps of the first set with all others come from the token lists. Those of a
     later set are derived from them by the tokens in which the two differ. A set in the
-    largest component is passed over: the sets outside it find their links to it.
+    largest component waits: the sets outside it find their links to it. At the end it is
+    asked after all if it is no longer in the largest one, or if a set outside that one is
+    not to be asked, and so finds no links itself.
     """
     m, size = len(sets), np.array([len(s) for s in sets])
     flat, who = np.concatenate(sets), np.repeat(np.arange(m), size)
@@ -230,10 +233,9 @@ def connect(sets: list[np.ndarray], ask: list[bool], similar: int) -> list[tuple
     turn = np.argsort(-middle, kind="stable")
     first = sets[turn[0]]
     base = overlaps(first)
-    union, links, main = Union(m), [], int(turn[0])
-    for x in turn.tolist():
-        if not ask[x] or union.find(x) == union.find(main) and x != turn[0]:
-            continue
+    union, links, main, waiting = Union(m), [], int(turn[0]), []
+
+    def link(x: int) -> None:
         if x == turn[0]:
             both = base
         elif 2 * base[x] >= size[x]:
@@ -244,8 +246,23 @@ def connect(sets: list[np.ndarray], ask: list[bool], similar: int) -> list[tuple
             if union.find(x) != union.find(y):
                 union.join(x, y)
                 links.append((x, y))
-                if union.size[union.find(x)] > union.size[union.find(main)]:
-                    main = x
+
+    for x in turn.tolist():
+        if not ask[x]:
+            continue
+        if union.find(x) == union.find(main) and x != turn[0]:
+            waiting.append(x)
+            continue
+        link(x)
+        if union.size[union.find(x)] > union.size[union.find(main)]:
+            main = x
+    # From here on the largest component stays the same one, so what is passed over in it stays in it.
+    told = [x for x in range(m) if not ask[x]]
+    for x in waiting:
+        while told and union.find(told[-1]) == union.find(main):
+            told.pop()
+        if told or union.find(x) != union.find(main):
+            link(x)
     return links
 
 
@@ -294,7 +311,7 @@ def _links_in_clusters(own: DataFrame, members: DataFrame, words: int, similar:
 
     A cluster is dealt into blocks of bounded size, each connected in a task. Where it
     has several blocks, every set outside its largest component is then compared with
-    all blocks, so no pair is left out and none within a component is asked.
+    all blocks, so no pair is left out but those within that component.
     """
     blocks = F.greatest(F.ceil(F.sum("n") / BLOCK_TOKENS), F.ceil(F.count(F.lit(1)) / BLOCK_SETS)).cast("int")
     sizes = materialise(members.groupBy("t").agg(blocks.alias("k"), F.count(F.lit(1)).alias("c")), "sizes")
