@@ -68,6 +68,12 @@ def throughput(spark, d):
     return S.throughput(load(spark, d, "lineitem").where("l_orderkey < 100"), "l_quantity", "l_tax", "l_discount")
 
 
+@query("SELECT coalesce(round(2 * sum(l_quantity) / nullif(sum(l_tax), 0), 4), 0) AS ops_per_second, coalesce(round(avg(l_discount), 4), 0) AS mean_latency FROM lineitem")
+def throughput_all(spark, d):
+    """AG5, over the whole table."""
+    return S.throughput(load(spark, d, "lineitem"), "l_quantity", "l_tax", "l_discount")
+
+
 PROTO = "CASE event_type WHEN 'click' THEN 'tcp' WHEN 'view' THEN 'udp' WHEN 'error' THEN 'icmp' WHEN 'signup' THEN 'arp' WHEN 'purchase' THEN 'other_ip' ELSE 'rest' END"
 
 
