@@ -23,3 +23,12 @@ def test_throughput_all(spark, tables):
     got = QUERIES["throughput_all"](spark, tables).first()
     assert got.ops_per_second == pytest.approx(2 * sum(r[4] for r in LINES) / sum(r[5] for r in LINES), abs=1e-4)
     assert got.mean_latency == pytest.approx(sum(r[6] for r in LINES) / len(LINES), abs=1e-4)
+
+
+def test_sparse_matmul_all(spark, tables):
+    want = Counter()
+    for a in LINES:
+        for b in LINES:
+            if a[3] == b[3]:
+                want[a[0] % 10, b[2] % 10] += int(a[4]) * int(b[4])
+    assert {(r.i, r.j): r.v for r in QUERIES["sparse_matmul_all"](spark, tables).collect()} == want

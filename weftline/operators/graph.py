@@ -88,6 +88,6 @@ def slice_sums(slices: DataFrame, amplitude: str, re: str, im: str) -> DataFrame
 
 
 def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
-    """AR6: product of two matrices in coordinate form (i, k, v) and (k, j, v): a join on the shared index and a sum."""
-    left, right = a.select("i", "k", F.col("v").alias("p")), b.select("k", "j", F.col("v").alias("q"))
+    """AR6: product of two matrices in coordinate form (i, k, v) and (k, j, v): a join on the shared index and a sum; entries of one place are added before they meet."""
+    left, right = a.groupBy("i", "k").agg(F.sum("v").alias("p")), b.groupBy("k", "j").agg(F.sum("v").alias("q"))
     return left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("p") * F.col("q")).alias("v"))

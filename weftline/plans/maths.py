@@ -167,6 +167,13 @@ def sparse_matmul(spark, d):
     return G.matmul(rows.select("i", "k", "v"), rows.select("k", "j", "v"))
 
 
+@query("WITH x AS (SELECT l_orderkey % 10 AS i, l_linenumber AS k, l_suppkey % 10 AS j, CAST(l_quantity AS BIGINT) AS q FROM lineitem), a AS (SELECT i, k, sum(q) AS q FROM x GROUP BY 1, 2), b AS (SELECT k, j, sum(q) AS q FROM x GROUP BY 1, 2) SELECT i, j, CAST(sum(a.q * b.q) AS BIGINT) AS v FROM a JOIN b USING (k) GROUP BY 1, 2")
+def sparse_matmul_all(spark, d):
+    """AR6, over the whole table."""
+    rows = load(spark, d, "lineitem").select(F.col("l_linenumber").alias("k"), (F.col("l_orderkey") % 10).alias("i"), (F.col("l_suppkey") % 10).alias("j"), F.col("l_quantity").cast("long").alias("v"))
+    return G.matmul(rows.select("i", "k", "v"), rows.select("k", "j", "v"))
+
+
 @query("""WITH c AS (SELECT x, y, z, CASE WHEN (x * 7 + y * 3 + z) % 4 = 0 THEN -1 ELSE 1 END AS s FROM (SELECT unnest(range(6)) AS x) CROSS JOIN (SELECT unnest(range(6)) AS y) CROSS JOIN (SELECT unnest(range(6)) AS z)),
 b AS (SELECT sum(c.s * n.s) AS e FROM c JOIN c n ON (n.x = (c.x + 1) % 6 AND n.y = c.y AND n.z = c.z) OR (n.x = c.x AND n.y = (c.y + 1) % 6 AND n.z = c.z) OR (n.x = c.x AND n.y = c.y AND n.z = (c.z + 1) % 6))
 SELECT CAST(sum(s) AS BIGINT) AS magnetisation, CAST(-1.0 * max(e) - 0.5 * sum(s) AS DOUBLE) AS energy, round(avg(s), 6) AS mean_spin, round(avg(s * s) - avg(s) * avg(s), 6) AS spin_variance FROM c, b""")
