@@ -32,3 +32,7 @@ def test_sparse_matmul_all(spark, tables):
             if a[3] == b[3]:
                 want[a[0] % 10, b[2] % 10] += int(a[4]) * int(b[4])
     assert {(r.i, r.j): r.v for r in QUERIES["sparse_matmul_all"](spark, tables).collect()} == want
+
+
+def test_sorted_values_all(spark, tables):
+    assert [r.v for r in QUERIES["sorted_values_all"](spark, tables).collect()] == sorted((r[4] for r in LINES), reverse=True)

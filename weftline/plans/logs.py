@@ -189,6 +189,12 @@ def sorted_values(spark, d):
     return load(spark, d, "lineitem").orderBy(F.desc("l_quantity"), "l_orderkey", "l_partkey").limit(100).select(F.col("l_quantity").alias("v"))
 
 
+@query("SELECT l_quantity AS v FROM lineitem ORDER BY l_quantity DESC, l_orderkey, l_partkey")
+def sorted_values_all(spark, d):
+    """SL3-SL5, all rows in order."""
+    return load(spark, d, "lineitem").orderBy(F.desc("l_quantity"), "l_orderkey", "l_partkey").select(F.col("l_quantity").alias("v"))
+
+
 @query("SELECT CAST(0 AS BIGINT) AS n_different, true AS same")
 def multiset_equal(spark, d):
     """JN13, SO4, SL8: what was produced is what was consumed."""
