@@ -36,3 +36,10 @@ def test_sparse_matmul_all(spark, tables):
 
 def test_sorted_values_all(spark, tables):
     assert [r.v for r in QUERIES["sorted_values_all"](spark, tables).collect()] == sorted((r[4] for r in LINES), reverse=True)
+
+
+def test_range_weights_take_the_whole_table(spark, tables):
+    assert "<= 60" not in QUERIES["range_weights"](spark, tables)._jdf.queryExecution().optimizedPlan().toString()
+    parts = {k: k % 11 for k in range(1, 500) if k % 9}
+    want = {(low, low + 3, sum(parts.get(k, 0) for k in range(low, low + 4))) for low in range(1, 500, 3) if any(k in parts for k in range(low, low + 3))}
+    assert {tuple(r) for r in QUERIES["range_weights_all"](spark, tables).collect()} == want

@@ -297,5 +297,13 @@ def connected_players(spark, d):
 def range_weights(spark, d):
     """AG26."""
     ranges = spark.range(1, 41, 3).select(F.col("id").alias("low"), (F.col("id") + 3).alias("high"))
-    balls = load(spark, d, "part").where("p_partkey <= 60").select("p_partkey", F.col("p_size").cast("long").alias("w"))
+    balls = load(spark, d, "part").select("p_partkey", F.col("p_size").cast("long").alias("w"))
+    return S.range_weights(balls, ranges, "p_partkey", "w")
+
+
+@query("SELECT low, low + 3 AS high, CAST(sum(p_size) AS BIGINT) AS weight FROM (SELECT DISTINCT (p_partkey - 1) // 3 * 3 + 1 AS low FROM part) r JOIN part ON p_partkey BETWEEN low AND low + 3 GROUP BY low")
+def range_weights_all(spark, d):
+    """AG26, ranges over the whole span of the keys."""
+    balls = load(spark, d, "part").select("p_partkey", F.col("p_size").cast("long").alias("w"))
+    ranges = balls.select(F.expr("(p_partkey - 1) div 3 * 3 + 1").alias("low")).distinct().select("low", (F.col("low") + 3).alias("high"))
     return S.range_weights(balls, ranges, "p_partkey", "w")
