@@ -215,7 +215,6 @@ def test_checksum(spark):
 def test_kernels():
     bell = kernels.statevector(2, [("h", 0), ("cx", 0, 1)])
     assert np.allclose(np.abs(bell) ** 2, [0.5, 0, 0, 0.5])
-    assert kernels.grover(3, 5, 2)[5] > 0.94
     assert kernels.purity(np.outer(bell, bell.conj())) == pytest.approx(1)
     assert kernels.purity(np.eye(2) / 2) == pytest.approx(0.5)
     v = np.random.default_rng(1).normal(size=16)
@@ -227,6 +226,53 @@ def test_kernels():
     assert np.allclose([math.erf(y) for y in kernels.inverse_erf(x)], x)
 
 
+def test_grover_amplitudes(spark):
+    got = spark.range(8).select(arrays.grover(3, F.col("id").cast("int"), 2).alias("a")).collect()
+    for k, r in enumerate(got):
+        a = np.full(8, 8**-0.5)
+        for _ in range(2):
+            a[k] *= -1
+            a = 2 * a.mean() - a
+        assert np.allclose(r.a, a)
+
+
+@pytest.mark.parametrize("degree,n", [(3, 50), (4, 31), (1, 10), (2, 2)])
+def test_random_graph_is_regular(spark, degree, n):
+    edges = graph.random_graph(spark.range(n), "id", degree, 5).collect()
+    assert len(set(edges)) == len(edges) and all(0 <= r.u < r.v < n for r in edges)
+    seen = np.bincount([x for r in edges for x in r], minlength=n)
+    assert seen.max() <= degree and seen.sum() >= degree * n - 4 * degree
+    assert sorted(edges) == sorted(graph.random_graph(spark.range(n), "id", degree, 5).collect())
+
+
+def test_cumulated_mass_over_many_ranges(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    values = [(i * 37) % 1009 for i in range(1000)]
+    got = {r.v: r.cdf for r in distribution.cdf_desc(spark.createDataFrame([(v, v % 5) for v in values], "v int, m int"), "v", "m").collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == {v: sum(x % 5 for x in values if x >= v) for v in values}
+
+
+def test_entropy_of_zeros_and_units(spark):
+    df = spark.createDataFrame([("a", 0.0), ("a", 0.0), ("b", 3.0), ("b", 0.0), ("c", 1.0), ("c", -1.0), ("d", 1.0), ("d", 1e-9)], "g string, v double")
+    got = {r.g: r.entropy for r in distribution.entropy(df, ["g"], "v").collect()}
+    assert got["a"] is None and [got[k] for k in "bcd"] == pytest.approx([0, 1, 0], abs=1e-9)
+
+
+def test_pages_by_key_are_the_numbered_ones(spark):
+    df, last = spark.range(95), None
+    for page in range(1, 12):
+        got = [r.id for r in paging.page_after(df, "id", last, 10).collect()]
+        assert got == [r.id for r in paging.page_of(df, "id", page, 10).collect()]
+        last = got[-1] if got else last
+
+
+def test_transactions_roll_back(spark):
+    old, new = spark.range(3), spark.range(5)
+    assert mutations.transaction(old, new, new.where("id > 10")).count() == 5
+    assert mutations.transaction(old, new, new.where("id > 1")).count() == 3
+
+
 def test_serde_roundtrip():
     for who in ((7, None, "Nowak", "Jan", [0, 5, 3]), (None, "a@b", "Żak", "", []), (None, None, "", "", [1] * 300)):
         assert serde.from_protobuf(serde.to_protobuf(*who)) == who

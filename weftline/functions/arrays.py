@@ -41,6 +41,19 @@ def same_fields(a: DataFrame, b: DataFrame, key: str, cols: list[str]) -> DataFr
     return left.join(right, key, "full").select(key, F.col("_a").eqNullSafe(F.col("_b")).alias("same"))
 
 
+def grover(n: int, marked: Column, rounds: int) -> Column:
+    """Amplitudes of n qubits after rounds of search for a marked state: the oracle turns its sign, then all are reflected about their mean."""
+    size = 1 << n
+    start = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.lit(size**-0.5))
+
+    def step(a: Column, _: Column) -> Column:
+        turned = F.transform(a, lambda x, k: F.when(k == marked, -x).otherwise(x))
+        mean = F.aggregate(turned, F.lit(0.0), lambda s, x: s + x) / size
+        return F.transform(turned, lambda x: 2 * mean - x)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step)
+
+
 def bit_table(spark: SparkSession, n: int) -> DataFrame:
     """SC17: every vector of n bits with its number, first bit the highest."""
     bits = F.transform(F.sequence(F.lit(n - 1), F.lit(0), F.lit(-1)), lambda k: F.call_function("shiftright", F.col("id"), k).bitwiseAND(F.lit(1)).cast("int"))

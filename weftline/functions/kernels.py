@@ -124,15 +124,6 @@ def statevector(n: int, gates: list[tuple]) -> np.ndarray:
     return psi.reshape(-1)
 
 
-def grover(n: int, marked: int, rounds: int) -> np.ndarray:
-    """Probabilities after rounds of the oracle of one state and the reflection about the mean."""
-    a = np.full(1 << n, 1 / math.sqrt(1 << n))
-    for _ in range(rounds):
-        a[marked] *= -1
-        a = 2 * a.mean() - a
-    return a**2
-
-
 def purity(rho: np.ndarray) -> float:
     """Tr rho rho of a density matrix."""
     return float(np.trace(rho @ rho).real)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.routing import settled
+
 
 def probabilities(counts: DataFrame, n: str) -> DataFrame:
     """AG8: counts with p, their share of all; the total is one row, so no window gathers the rows."""
@@ -18,8 +20,16 @@ def mass_by_value(df: DataFrame, value: str, p: str) -> DataFrame:
 
 
 def cdf_desc(mass: DataFrame, value: str, p: str) -> DataFrame:
-    """WN3: cumulated mass from the greatest value down. For values already grouped: their number bounds the window."""
-    return mass.withColumn("cdf", F.sum(p).over(Window.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, 0)))
+    """WN3: cumulated mass from the greatest value down.
+
+    Ranges of values are cumulated apart, and each adds the masses of the ranges above it,
+    of which there are as many as partitions; no task sees all values.
+    """
+    ranged = settled(mass.repartitionByRange(F.desc(value)).withColumn("_p", F.spark_partition_id()))
+    sizes = ranged.groupBy("_p").agg(F.sum(p).alias("_sum"))
+    before = sizes.select("_p", F.coalesce(F.sum("_sum").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inner = F.sum(p).over(Window.partitionBy("_p").orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn("cdf", inner).join(F.broadcast(before), "_p").withColumn("cdf", F.col("cdf") + F.col("_before")).drop("_p", "_before")  # a row a partition
 
 
 def argmax_first(df: DataFrame, by: list[str], value: str, seq: str) -> DataFrame:
@@ -55,16 +65,15 @@ def discarded_weight(df: DataFrame, by: list[str], value: str, tie: str, k: int)
     return ranked.groupBy(*by).agg(F.sum(F.when(F.col("_k") > k, F.col(value) * F.col(value)).otherwise(0.0)).alias("discarded"))
 
 
-def entropy(df: DataFrame, by: list[str], value: str, least: float = 1e-15) -> DataFrame:
-    """AG15, PF20: von Neumann entropy of each group's singular values: p = square by sum of squares, p near zero left out.
+def entropy(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """AG15, PF20: von Neumann entropy of each group's singular values: p = square by sum of squares, p of zero left out; null where all are zero.
 
     -sum p log2 p is log2(N) - (sum s2 log2 s2) / N with N the sum of the squares, so one
-    aggregate does; values whose p is left out add less than the rounding.
+    aggregate does. Where p is near zero the term is, too, so nothing needs to be cut off.
     """
-    norm = df.groupBy(*by).agg(F.sum(F.col(value) * F.col(value)).alias("_norm"))
-    p = F.col(value) * F.col(value) / F.col("_norm")
-    parts = df.join(norm, by).withColumn("_p", p).where(F.col("_p") > least)
-    return parts.groupBy(*by).agg((-F.sum(F.col("_p") * F.log2("_p"))).alias("entropy"))
+    square = F.col(value) * F.col(value)
+    norm, logs = F.sum(square), F.sum(F.when(square > 0, square * F.log2(square)))
+    return df.groupBy(*by).agg((F.log2(norm) - logs / norm).alias("entropy"))
 
 
 def fidelity(a: Column, b: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.routing import numbered_from_zero
+
 
 def complete_graph(spark: SparkSession, n: int) -> DataFrame:
     """SC16: all pairs u < v of n nodes: the definition of its result, n(n-1)/2 rows made by one generator."""
@@ -21,10 +23,27 @@ def ring_lattice(spark: SparkSession, n: int, reach: int) -> DataFrame:
     return spark.range(n).select(F.col("id").alias("u"), F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("k")).select("u", F.pmod(F.col("u") + F.col("k"), F.lit(n)).alias("v"))
 
 
-def random_graph(nodes: DataFrame, node: str, out_of: int, seed: int) -> DataFrame:
-    """SC16: each ordered pair of adjacent keys by hash: an edge where the hash of the pair falls in one of out_of parts. Deterministic in seed."""
-    a, b = nodes.select(F.col(node).alias("u")), nodes.select(F.col(node).alias("v"))
-    return a.join(b, F.col("u") < F.col("v")).where(F.pmod(F.xxhash64("u", "v", F.lit(seed)), F.lit(out_of)) == 0)
+def _turned(nodes: DataFrame, node: str, seed: int, turn: int) -> DataFrame:
+    """The nodes with _n, their place (from 0) in an order drawn by seed and turn."""
+    drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(turn)), F.col(node).cast("string")))
+    return numbered_from_zero(nodes.select(node, F.concat_ws(":", drawn, F.col(node).cast("string")).alias("_o")), "_o").drop("_o")
+
+
+def random_graph(nodes: DataFrame, node: str, degree: int, seed: int) -> DataFrame:
+    """SC16: random graph u < v of a given degree: rings through all nodes in orders drawn by seed, and for an odd degree a pairing of neighbours in one more.
+
+    A node's degree is smaller only where two rings share an edge. Deterministic in seed;
+    each ring is a sort and a join on places, so nothing meets all pairs.
+    """
+    out = None
+    n = nodes.count()
+    for turn in range((degree + 1) // 2):
+        placed = _turned(nodes, node, seed, turn)
+        ring = placed if 2 * turn + 1 < degree else placed.where("_n % 2 = 0")
+        ahead = placed.select(F.pmod(F.col("_n") - 1, F.lit(n)).alias("_n"), F.col(node).alias("_v"))
+        edges = ring.join(ahead, "_n").where(F.col(node) != F.col("_v")).select(F.least(node, "_v").alias("u"), F.greatest(node, "_v").alias("v"))
+        out = edges if out is None else out.unionByName(edges)
+    return out.distinct()
 
 
 def flow_totals(nodes: DataFrame, flows: DataFrame) -> DataFrame:

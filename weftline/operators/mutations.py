@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.validation import overlay
+
 
 def insert(df: DataFrame, rows: DataFrame) -> DataFrame:
     """MU1: the table with new rows; columns are matched by name, absent ones are null."""
@@ -21,7 +23,7 @@ def replace(df: DataFrame, rows: DataFrame, key: str, keep: list[str]) -> DataFr
 def patch(df: DataFrame, patches: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """MU3: patches have key, and for each field f the columns has_f and new_f; a present null deletes (PF9)."""
     out = df.join(patches, key, "left")
-    new = {f: F.when(F.coalesce(F.col(f"has_{f}"), F.lit(False)), F.col(f"new_{f}")).otherwise(F.col(f)) for f in fields}
+    new = {f: overlay(F.col(f), F.coalesce(F.col(f"has_{f}"), F.lit(False)), F.col(f"new_{f}")) for f in fields}
     return out.withColumns(new).select(df.columns)
 
 
@@ -119,6 +121,13 @@ def first_success(log: DataFrame, key: list, seq: str, status: str) -> DataFrame
     return good.withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy(seq))).where("_k = 1").drop("_k")
 
 
+def transaction(snapshot: DataFrame, changed: DataFrame, problems: DataFrame) -> DataFrame:
+    """MU13: the changed table, or the snapshot as it was if there is any problem. One row decides; neither table is written before."""
+    ok = problems.limit(1).agg((F.count(F.lit(1)) == 0).alias("_ok"))
+    kept = changed.crossJoin(F.broadcast(ok)).where("_ok").drop("_ok")  # one row
+    return kept.unionByName(snapshot.crossJoin(F.broadcast(ok)).where("NOT _ok").drop("_ok"), allowMissingColumns=True)
+
+
 def etag(*columns: Column) -> Column:
     """MU12, ST7: first 16 hex digits of the md5 of a canonical text: the values in a given order, joined by '|', null as ''."""
     return F.substring(F.md5(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns]).cast("binary")), 1, 16)

@@ -23,6 +23,18 @@ def page_of(df: DataFrame, key: str | list, page: int, limit: int) -> DataFrame:
     return df.orderBy(*([key] if isinstance(key, (str, Column)) else key)).offset((page - 1) * limit).limit(limit)
 
 
+def page_problem(page: Column, limit: Column) -> Column:
+    """PF7 for requests that are rows: what is wrong with a page and limit, null if nothing."""
+    return F.when(page.isNull() | (page < 1), F.lit("page")).when(limit.isNull() | ~limit.between(1, MAX_LIMIT), F.lit("limit"))
+
+
+def page_after(df: DataFrame, key: str, last, limit: int) -> DataFrame:
+    """SL1 by key: the rows after the last key of the page before (None: the first page). A deep page costs as much as the first: the filter reaches the scan, and the top-k holds limit rows."""
+    check_page(1, limit)
+    rest = df if last is None else df.where(F.col(key) > F.lit(last))
+    return rest.orderBy(key).limit(limit)
+
+
 def page_meta(df: DataFrame, page: int, limit: int) -> DataFrame:
     """SL2, AG1: one row of metadata, also for a page beyond the end or an empty table."""
     check_page(page, limit)

@@ -21,12 +21,24 @@ def topic_regex(pattern: Column) -> Column:
 def route_topic(messages: DataFrame, bindings: DataFrame, key: str = "routing_key", pattern: str = "pattern") -> DataFrame:
     """JN4: messages to the queues with a pattern that matches; one delivery a queue.
 
-    Patterns meet the distinct routing keys only, of which a topology has few; messages
-    then join their key's queues by equality.
+    Patterns meet the distinct routing keys only; messages then join their key's queues
+    by equality. A pattern that begins with a word meets the keys of that first word, one
+    that ends with a word those of that last word, and one without either must be compared
+    with every key, as it can match any: their list is sent to the keys.
     """
     keys = messages.select(key).distinct()
-    met = keys.join(bindings.select("queue", topic_regex(F.col(pattern)).alias("_re")).distinct(), F.expr(f"concat('.', {key}) RLIKE _re"))
-    return messages.join(met.select(key, "queue").distinct(), key)
+    parts = bindings.select("queue", topic_regex(F.col(pattern)).alias("_re"), F.split(pattern, r"\.").alias("_w")).distinct()
+    wild = F.array(F.lit("*"), F.lit("#"))
+    first, last = F.element_at("_w", 1), F.element_at("_w", -1)
+    by_first = parts.where(~F.array_contains(wild, first)).select("queue", "_re", first.alias("_end"))
+    by_last = parts.where(F.array_contains(wild, first) & ~F.array_contains(wild, last)).select("queue", "_re", last.alias("_end"))
+    free = parts.where(F.array_contains(wild, first) & F.array_contains(wild, last)).select("queue", "_re")
+    told = keys.withColumns({"_first": F.element_at(F.split(key, r"\."), 1), "_last": F.element_at(F.split(key, r"\."), -1)})
+    match = F.expr(f"concat('.', {key}) RLIKE _re")
+    met = told.join(by_first, F.col("_first") == F.col("_end")).where(match).select(key, "queue")
+    met = met.unionByName(told.join(by_last, F.col("_last") == F.col("_end")).where(match).select(key, "queue"))
+    met = met.unionByName(told.join(free, match).select(key, "queue"))
+    return messages.join(met.distinct(), key)
 
 
 def route_fanout(messages: DataFrame, queues: list[str]) -> DataFrame:
@@ -82,5 +94,12 @@ def numbered_from_zero(df: DataFrame, key: str) -> DataFrame:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df with rows that no longer change: in the checkpoint folder if the session has one, else kept in memory and on disk."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+    """df with rows that no longer change: in the folder that spark.checkpoint.dir names; without one only on one machine, where no executor is lost, kept in memory and on disk."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None and (folder := spark.conf.get("spark.checkpoint.dir", None)):
+        spark.sparkContext.setCheckpointDir(folder)
+    if spark.sparkContext.getCheckpointDir() is not None:
+        return df.checkpoint()
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return df.persist()

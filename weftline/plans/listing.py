@@ -32,6 +32,56 @@ def page_beyond_end(spark, d):
     return P.page_of(load(spark, d, "orders").select("o_orderkey"), "o_orderkey", 1_000_000, 100)
 
 
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey > 9000 ORDER BY o_orderkey LIMIT 100")
+def page_after(spark, d):
+    """SL1: a deep page by the last key of the one before it."""
+    return P.page_after(load(spark, d, "orders").select("o_orderkey"), "o_orderkey", 9000, 100)
+
+
+@query("SELECT event_id, CASE WHEN event_id % 7 < 1 THEN 'page' WHEN user_id % 120 NOT BETWEEN 1 AND 100 THEN 'limit' END AS problem FROM events")
+def page_check(spark, d):
+    """PF7: page and limit of every request."""
+    return load(spark, d, "events").select("event_id", P.page_problem(F.col("event_id") % 7, F.col("user_id") % 120).alias("problem"))
+
+
+@query("""WITH s AS (SELECT p_partkey, p_size FROM part), q AS (SELECT l_partkey, sum(l_quantity) AS q, max(l_quantity) AS m FROM lineitem GROUP BY 1)
+SELECT 'kept' AS outcome, p_partkey, CAST(p_size * 100000 - coalesce(q, 0) AS DOUBLE) AS copies FROM s LEFT JOIN q ON p_partkey = l_partkey UNION ALL SELECT 'rolled back', p_partkey, CAST(p_size AS DOUBLE) FROM s""")
+def transactions(spark, d):
+    """MU13: a bulk order over all stock that fits, and one that does not and leaves the stock as it was."""
+    items = load(spark, d, "lineitem").select("l_partkey", "l_quantity")
+    part = load(spark, d, "part")
+    out = None
+    for outcome, copies in (("kept", F.col("p_size") * 100000), ("rolled back", F.col("p_size"))):
+        stock = part.select(F.col("p_partkey").alias("l_partkey"), copies.cast("double").alias("copies"))
+        changed = M.take_stock(stock, items, "l_partkey", "l_quantity", "copies")
+        done = M.transaction(stock, changed, changed.where("copies < 0")).select(F.lit(outcome).alias("outcome"), F.col("l_partkey").alias("p_partkey"), "copies")
+        out = done if out is None else out.unionByName(done)
+    return out
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'O' AND o_orderdate < (SELECT max(o_orderdate) FROM orders) - INTERVAL 90 DAY")
+def overdue(spark, d):
+    """Loans not returned within their term (planned by the reference): open orders older than 90 days, seen from the last order."""
+    orders = load(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+    last = orders.agg((F.max("o_orderdate") - F.expr("INTERVAL 90 DAY")).alias("term"))
+    return orders.where("o_orderstatus = 'O'").crossJoin(F.broadcast(last)).where("o_orderdate < term").select("o_orderkey", "o_custkey")  # one row
+
+
+@query("SELECT p_partkey, p_size * 30 AS copies, CAST(coalesce(n, 0) AS BIGINT) AS on_loan, p_size * 30 - coalesce(n, 0) > 0 AS available FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1) ON p_partkey = l_partkey")
+def copies_left(spark, d):
+    """Copies of each title, how many are on loan, and whether one is left (planned by the reference)."""
+    out = load(spark, d, "lineitem").where("l_linestatus = 'O'").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count(F.lit(1)).alias("n"))
+    met = load(spark, d, "part").select("p_partkey", (F.col("p_size") * 30).alias("copies")).join(out, "p_partkey", "left").withColumn("on_loan", F.coalesce("n", F.lit(0)))
+    return met.select("p_partkey", "copies", "on_loan", (F.col("copies") > F.col("on_loan")).alias("available"))
+
+
+@query("SELECT c_custkey, coalesce(n, 0) AS n_loans, first_at FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, min(o_orderkey) AS first_at FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) ON c_custkey = o_custkey")
+def loans_of_user(spark, d):
+    """Open loans of each user, and the first of them (planned by the reference)."""
+    loans = load(spark, d, "orders").where("o_orderstatus = 'O'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_at"))
+    return load(spark, d, "customer").select("c_custkey").join(loans, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n_loans"), "first_at")
+
+
 @query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey = 7")
 def point_lookup(spark, d):
     """SC2."""
@@ -185,8 +235,8 @@ def restock(spark, d):
     """MU6, MU8: stock less ordered, and plus returned, quantities."""
     stock = load(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), (F.col("p_size") * 30).alias("after_order"))
     items = load(spark, d, "lineitem").where("l_returnflag = 'R'").select("l_partkey", "l_quantity")
-    out = M.take_stock(stock, items, "l_partkey", "l_quantity", "after_order").join(M.take_stock(stock, items, "l_partkey", "l_quantity", "after_order", 1).withColumnRenamed("after_order", "after_return"), "l_partkey")
-    return out.withColumnRenamed("l_partkey", "p_partkey")
+    out = M.take_stock(stock.withColumn("before", F.col("after_order")), items, "l_partkey", "l_quantity", "after_order")
+    return out.select(F.col("l_partkey").alias("p_partkey"), "after_order", (2 * F.col("before") - F.col("after_order")).alias("after_return"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 AND o_orderstatus = 'O' THEN 'returned' WHEN o_orderstatus = 'O' THEN 'created' ELSE 'returned' END AS status, CASE WHEN o_orderkey % 4 = 0 THEN CASE WHEN o_orderstatus = 'O' THEN 200 ELSE 409 END END AS outcome FROM orders""")

@@ -102,13 +102,21 @@ def positive_labels(spark, d):
     return generators.flows(spark).where("w > 0").select(F.col("src").alias("u"), F.col("dst").alias("v"), "w")
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS cut FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey WHERE a.s_suppkey % 2 <> b.s_suppkey % 2")
+@query("SELECT CAST(count(*) AS BIGINT) AS cut FROM (SELECT DISTINCT l_partkey AS u, l_suppkey AS v FROM lineitem) WHERE (u % 3 = 0) <> (v % 2 = 0)")
 def maxcut_value(spark, d):
-    """AG7, JN7."""
-    s = load(spark, d, "supplier")
-    a, b = s.select(F.col("s_suppkey").alias("u"), "s_nationkey"), s.select(F.col("s_suppkey").alias("v"), "s_nationkey")
-    edges = a.join(b, "s_nationkey").where("u < v").select("u", "v")
-    return G.cut_value(edges, s.select(F.col("s_suppkey").alias("node"), (F.col("s_suppkey") % 2).alias("x")))
+    """AG7, JN7: parts and suppliers with an edge for each supply; sides by number."""
+    edges = load(spark, d, "lineitem").select(F.col("l_partkey").alias("u"), (-1 - F.col("l_suppkey")).alias("v")).distinct()
+    parts = load(spark, d, "part").select(F.col("p_partkey").alias("node"), (F.col("p_partkey") % 3 == 0).cast("int").alias("x"))
+    suppliers = load(spark, d, "supplier").select((-1 - F.col("s_suppkey")).alias("node"), (F.col("s_suppkey") % 2 == 0).cast("int").alias("x"))
+    return G.cut_value(edges, parts.unionByName(suppliers))
+
+
+@query("""WITH r AS (SELECT c_custkey AS k, row_number() OVER (ORDER BY md5('7:0:' || c_custkey) || ':' || c_custkey) - 1 AS a, row_number() OVER (ORDER BY md5('7:1:' || c_custkey) || ':' || c_custkey) - 1 AS b FROM customer), n AS (SELECT count(*) AS n FROM customer),
+e AS (SELECT x.k AS p, y.k AS q FROM r x CROSS JOIN n JOIN r y ON y.a = (x.a + 1) % n UNION ALL SELECT x.k, y.k FROM r x CROSS JOIN n JOIN r y ON y.b = (x.b + 1) % n WHERE x.b % 2 = 0)
+SELECT DISTINCT least(p, q) AS u, greatest(p, q) AS v FROM e WHERE p <> q""")
+def random_regular_graph(spark, d):
+    """SC16: a random graph of degree three over the customers, by seed."""
+    return G.random_graph(load(spark, d, "customer"), "c_custkey", 3, 7)
 
 
 @query("SELECT DISTINCT a.event_id AS i, b.event_id AS j FROM events a JOIN events b ON a.event_id < b.event_id AND (a.event_id // 3 = b.event_id // 3 OR a.event_id // 5 = b.event_id // 5)")
@@ -160,16 +168,9 @@ def slice_sums(spark, d):
     return G.slice_sums(e, "amplitude", "r", "i")
 
 
-@query("SELECT a.l_orderkey % 10 AS i, b.l_suppkey % 10 AS j, CAST(sum(a.q * b.q) AS BIGINT) AS v FROM (SELECT l_orderkey, l_linenumber AS k, CAST(l_quantity AS BIGINT) AS q FROM lineitem WHERE l_orderkey < 40) a JOIN (SELECT l_suppkey, l_linenumber AS k, CAST(l_quantity AS BIGINT) AS q FROM lineitem WHERE l_orderkey < 40) b USING (k) GROUP BY 1, 2")
+@query("WITH x AS (SELECT l_orderkey % 10 AS i, l_linenumber AS k, l_suppkey % 10 AS j, CAST(l_quantity AS BIGINT) AS q FROM lineitem), a AS (SELECT i, k, sum(q) AS q FROM x GROUP BY 1, 2), b AS (SELECT k, j, sum(q) AS q FROM x GROUP BY 1, 2) SELECT i, j, CAST(sum(a.q * b.q) AS BIGINT) AS v FROM a JOIN b USING (k) GROUP BY 1, 2")
 def sparse_matmul(spark, d):
     """AR6: a product in coordinate form."""
-    rows = load(spark, d, "lineitem").where("l_orderkey < 40").select(F.col("l_linenumber").alias("k"), (F.col("l_orderkey") % 10).alias("i"), (F.col("l_suppkey") % 10).alias("j"), F.col("l_quantity").cast("long").alias("v"))
-    return G.matmul(rows.select("i", "k", "v"), rows.select("k", "j", "v"))
-
-
-@query("WITH x AS (SELECT l_orderkey % 10 AS i, l_linenumber AS k, l_suppkey % 10 AS j, CAST(l_quantity AS BIGINT) AS q FROM lineitem), a AS (SELECT i, k, sum(q) AS q FROM x GROUP BY 1, 2), b AS (SELECT k, j, sum(q) AS q FROM x GROUP BY 1, 2) SELECT i, j, CAST(sum(a.q * b.q) AS BIGINT) AS v FROM a JOIN b USING (k) GROUP BY 1, 2")
-def sparse_matmul_all(spark, d):
-    """AR6, over the whole table."""
     rows = load(spark, d, "lineitem").select(F.col("l_linenumber").alias("k"), (F.col("l_orderkey") % 10).alias("i"), (F.col("l_suppkey") % 10).alias("j"), F.col("l_quantity").cast("long").alias("v"))
     return G.matmul(rows.select("i", "k", "v"), rows.select("k", "j", "v"))
 
@@ -359,32 +360,63 @@ def normal_grid(spark, d):
     return spark.range(5).select(F.col("id").cast("int").alias("id"), (F.round(N.normal_grid(0.1 + 0.2 * F.col("id"), 0.0, 1.0, -3.0, 3.0), 4) + 0.0).alias("y"))
 
 
-@query()
+@query("""WITH b AS (SELECT vec_id, CAST(i AS INTEGER) AS block, CAST(embedding[4 * i + 1] AS DOUBLE) AS a, CAST(embedding[4 * i + 2] AS DOUBLE) AS b, CAST(embedding[4 * i + 3] AS DOUBLE) AS c, CAST(embedding[4 * i + 4] AS DOUBLE) AS d FROM (SELECT vec_id, embedding, unnest(range(len(embedding) // 4)) AS i FROM embeddings)),
+q AS (SELECT vec_id, block, a * a + b * b + c * c + d * d AS n, greatest(pow(a * a + b * b + c * c + d * d, 2) - 4 * pow(a * d - b * c, 2), 0) AS r FROM b),
+p AS (SELECT vec_id, block, (n + sqrt(r)) / (2 * n) AS p, (n - sqrt(r)) / (2 * n) AS q FROM q)
+SELECT vec_id, block, round(-p * log2(p) - CASE WHEN q > 1e-15 THEN q * log2(q) ELSE 0 END, 4) + 0.0 AS entropy FROM p""")
 def svd_entropy(spark, d):
-    """AR7, AG15: spectra of the embeddings as matrices, and their entropy."""
+    """AR7, AG15: spectra of the embeddings' two by two blocks, and their entropy (SQL has them in closed form)."""
+    v = load(spark, d, "embeddings")
+    block = F.posexplode(F.transform(F.sequence(F.lit(0), F.expr("size(embedding) div 4 - 1")), lambda i: F.slice("embedding", 4 * i + 1, 4))).alias("block", "m")
+    blocks = v.select("vec_id", block).select((F.col("vec_id") * 1024 + F.col("block")).alias("key"), "m")
+    out = D.entropy(N.svd_spectrum(blocks, "key", "m", 2), ["key"], "s")
+    return out.select(F.expr("key div 1024").alias("vec_id"), (F.col("key") % 1024).cast("int").alias("block"), (F.round("entropy", 4) + 0.0).alias("entropy"))
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 4) AS norm, CAST(8 AS BIGINT) AS n, true AS falling FROM embeddings")
+def svd_norms(spark, d):
+    """AR7: the spectrum of each embedding as an eight by eight matrix: falling, and its squares add up to those of the entries."""
     s = N.svd_spectrum(load(spark, d, "embeddings"), "vec_id", "embedding", 8)
-    return D.entropy(s, ["vec_id"], "s")
+    falls = F.array_sort(F.collect_list(F.struct("k", "s")))
+    each = s.groupBy("vec_id").agg(F.round(F.sum(F.col("s") * F.col("s")), 4).alias("norm"), F.count(F.lit(1)).alias("n"), falls.alias("l"))
+    return each.select("vec_id", "norm", "n", F.forall(F.sequence(F.lit(1), F.size("l") - 1), lambda i: F.get("l", i)["s"] <= F.get("l", i - 1)["s"]).alias("falling"))
+
+
+@query("""WITH v AS (SELECT vec_id, list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) AS n, list_sum(list_transform(embedding[1:len(embedding) // 2], lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) AS a FROM embeddings)
+SELECT vec_id, '2,4,8,4,2' AS bonds, CAST(1 AS DOUBLE) AS norm, round(2 * a / n - 1, 4) AS z0, CAST(1 AS DOUBLE) AS fidelity, CAST(0 AS DOUBLE) AS discarded FROM v""")
+def mps_exact(spark, d):
+    """M14, AR6: chains whose bonds are as wide as they need give the state back; <Z> of the first site is the difference of the halves' weights."""
+    t = N.chain_table(load(spark, d, "embeddings"), "vec_id", "embedding", 8)
+    return t.select("vec_id", F.array_join(F.transform("bonds", lambda b: b.cast("string")), ",").alias("bonds"), *[(F.round(c, 4) + 0.0).alias(c) for c in ("norm", "z0", "fidelity", "discarded")])
 
 
-@query()
+@query("SELECT vec_id, '2,4,4,4,2' AS bonds, true AS norm_is_what_is_left, true AS fidelity_is_its_root FROM embeddings")
 def mps_chains(spark, d):
-    """M14: matrix-product chains of the embeddings with bonds of at most 4."""
-    return N.chain_table(load(spark, d, "embeddings"), "vec_id", "embedding", 4)
+    """M14, AG17: with bonds of at most 4 what is lost is what was thrown away at the one bond that is cut."""
+    t = N.chain_table(load(spark, d, "embeddings"), "vec_id", "embedding", 4)
+    close = lambda a, b: F.abs(a - b) < 1e-6
+    left = 1 - F.col("discarded")
+    return t.select("vec_id", F.array_join(F.transform("bonds", lambda b: b.cast("string")), ",").alias("bonds"), close(F.col("norm"), left).alias("norm_is_what_is_left"), close(F.col("fidelity") * F.col("fidelity"), left).alias("fidelity_is_its_root"))
 
 
-@query()
+@query("SELECT CAST(8 AS BIGINT) AS n, true AS ordered_when_cold, true AS disordered_when_hot, true AS energy_rises, true AS in_bounds")
 def ising_curve(spark, d):
-    """Metropolis sweeps over a range of temperatures (a key each)."""
-    return N.ising_sweeps(spark.range(8).select((1.5 + 0.25 * F.col("id")).alias("temperature")), 16, 60, 7)
+    """Metropolis sweeps over a range of temperatures (a key each); a random walk, so what must hold of it is told."""
+    t = N.ising_sweeps(spark.range(8).select((1.5 + 0.25 * F.col("id")).alias("temperature")), 16, 200, 7)
+    cold, hot = F.col("temperature") < 1.6, F.col("temperature") > 3.2
+    return t.agg(F.count(F.lit(1)).alias("n"), F.bool_and(~cold | (F.col("magnetisation") > 0.9)).alias("ordered_when_cold"), F.bool_and(~hot | (F.col("magnetisation") < 0.5)).alias("disordered_when_hot"), (F.max(F.when(cold, F.col("mean_energy"))) < F.min(F.when(hot, F.col("mean_energy")))).alias("energy_rises"), F.bool_and(F.col("mean_energy").between(-2.0, 0.0) & (F.col("heat_capacity") >= 0)).alias("in_bounds"))
 
 
-@query()
+@query("SELECT CAST(100000 AS BIGINT) AS n, true AS mean_ok, true AS variance_ok, CAST(7 AS BIGINT) AS days, true AS in_range")
 def uniform_samples(spark, d):
-    """SC18: statistics of a random table."""
-    return A.uniform_table(spark, 100_000).agg(F.avg("u").alias("mean"), F.variance("u").alias("variance"), F.count_distinct("day").alias("days"))
+    """SC18: a random table has the moments of its distribution (within five standard errors)."""
+    t = A.uniform_table(spark, 100_000).agg(F.count(F.lit(1)).alias("n"), F.avg("u").alias("m"), F.variance("u").alias("v"), F.count_distinct("day").alias("days"), F.bool_and((F.col("u") >= 0) & (F.col("u") < 1)).alias("in_range"))
+    return t.select("n", (F.abs(F.col("m") - 0.5) < 0.005).alias("mean_ok"), (F.abs(F.col("v") - 1 / 12) < 0.002).alias("variance_ok"), "days", "in_range")
 
 
-@query("SELECT state, CAST(round(p, 4) AS DOUBLE) AS p FROM (VALUES (0, 0.0078125), (1, 0.0078125), (2, 0.0078125), (3, 0.0078125), (4, 0.0078125), (5, 0.9453125), (6, 0.0078125), (7, 0.0078125)) t(state, p)")
+@query("""WITH RECURSIVE g(k, hit, miss) AS (SELECT 0, 1 / sqrt(8.0), 1 / sqrt(8.0) UNION ALL SELECT k + 1, 2 * (7 * miss - hit) / 8 + hit, 2 * (7 * miss - hit) / 8 - miss FROM g WHERE k < 2)
+SELECT p_partkey, CAST(state AS INTEGER) AS state, round(CASE WHEN state = p_partkey % 8 THEN hit * hit ELSE miss * miss END, 4) AS p FROM part CROSS JOIN (SELECT unnest(range(8)) AS state) CROSS JOIN g WHERE k = 2""")
 def grover_probs(spark, d):
-    """Probabilities of three qubits after two rounds of search for state 5."""
-    return spark.createDataFrame([(k, round(float(p), 4)) for k, p in enumerate(N.grover(3, 5, 2))], "state int, p double")
+    """Probabilities of three qubits after two rounds of search, for a marked state of each part."""
+    found = load(spark, d, "part").select("p_partkey", F.posexplode(A.grover(3, (F.col("p_partkey") % 8).cast("int"), 2)).alias("state", "a"))
+    return found.select("p_partkey", "state", F.round(F.col("a") * F.col("a"), 4).alias("p"))
