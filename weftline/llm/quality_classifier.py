@@ -2,19 +2,23 @@
 
 The text view sees the words of a document and how it is written; the metadata view
 sees its source, language, size and layout. Each starts from the labelled rows; over
-some rounds each labels a pool of unlabelled rows, and what it is most sure of joins
-the other's training rows. On labelled rows that were held out, both views are
-calibrated and combined, and the threshold is set so that hardly any good document
+some rounds each scores all unlabelled documents, and the ADDED ones that it is most
+sure of join the other's training rows. On labelled rows that were held out, both views
+are calibrated and combined, and the threshold is set so that hardly any good document
 falls below it. The combined model then scores all documents in one map.
 
 A document is good when its quality label is 1 and its toxic label is not 1.
 
-Fitting uses at most MAX_LABELLED labelled and MAX_POOL unlabelled documents, those
-of least hash; their features alone reach the driver. Scoring covers every document.
+Fitting uses at most MAX_LABELLED labelled documents, those of least hash. What the views
+need of the unlabelled ones (which of the chosen words, statistics, metadata: documents
+alike in these are one) is a table in the shared folder; a round is a map over it and
+a top-k. Only the rows that are added reach the driver. The text view is a model of the
+MAX_WORDS most telling words. Scoring covers every document and all its words.
 
 Defined results: null and empty texts have no words and are scored by the rest; null
 source, language or length are values of their own; rows alike get the same score;
-labels that contradict each other or are null are not used; without labels of both
+labels that contradict each other or are null are not used; of several documents of a
+labelled id the one of least content hash is used; without labels of both
 kinds every score is 1 and everything is kept; an empty table gives no rows; further
 columns are passed on by ``classify`` unless they bear the name of one that it makes.
 """
@@ -31,12 +35,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import table, trimmed
+from weftline.llm.common import discard, materialise, modest, table, trimmed, unused
 
-MAX_LABELLED, MAX_POOL = 8000, 4000
+MAX_LABELLED = 8000
 #: Hash buckets of words; words that the text view uses at most, and how far their share must differ between the classes (in standard errors).
 BUCKETS, MAX_WORDS, STANDS_OUT = 1 << 18, 400, 4.0
-ROUNDS, SURE, ADDED = 4, 0.95, 0.05
+#: Rounds, how sure a view must be, and documents that it labels in a round (good ones and others in the labelled proportion).
+ROUNDS, SURE, ADDED = 4, 0.95, 200
 #: Share of the held-out good documents that the threshold may reject, and the part of the labelled rows held out.
 REJECTED_GOOD, HELD_OUT = 0.002, 4
 STATS, META = 10, 160
@@ -164,37 +169,39 @@ def _telling(rows: list, y: np.ndarray) -> np.ndarray:
     return np.sort(top[z[top] > STANDS_OUT])
 
 
-def co_train(rows: list, y: np.ndarray, pool: list, rounds: int = ROUNDS) -> CoTrained | None:
-    """The fitted model, or None without labelled rows of both kinds."""
-    if len(rows) < 20 or len(set(y.tolist())) < 2:
+def shares(share: float, added: int) -> tuple[int, int]:
+    """Good and other documents that a view labels in a round, one of each at least."""
+    good = min(max(1, round(added * share)), max(1, added - 1))
+    return good, max(1, added - good)
+
+
+def co_train(rows: list, y: np.ndarray, most_sure, rounds: int = ROUNDS) -> CoTrained | None:
+    """The fitted model, or None without labelled rows of both kinds.
+
+    most_sure(chosen, models, used, n_good, n_bad) gives of each view the unlabelled rows
+    (key, words, stats, meta, label) that it is most sure of; used: keys that each view has been given.
+    """
+    if len(set(y.tolist())) < 2:
         return None
     held = np.arange(len(rows)) % HELD_OUT == 0
     if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
         held = np.zeros(len(rows), bool)
     train, check = np.flatnonzero(~held), np.flatnonzero(held) if held.any() else np.arange(len(rows))
     chosen = _telling([rows[i] for i in train], y[train])
-    views, spare = _matrix(rows, chosen), _matrix(pool, chosen)
-    share = y[train].mean()
-    extra: list[dict[int, float]] = [{}, {}]
+    views = _matrix(rows, chosen)
+    n_good, n_bad = shares(float(y[train].mean()), ADDED)
+    extra: list[dict[int, tuple]] = [{}, {}]
     models = [Logistic(), Logistic()]
     for r in range(rounds + 1):
         for v in (0, 1):
-            more = np.array(sorted(extra[v]), int)
-            x = np.vstack([views[v][train], spare[v][more]])
-            models[v].fit(x, np.concatenate([y[train], [extra[v][i] for i in more]]))
-        if r == rounds or not pool:
+            more = [extra[v][k] for k in sorted(extra[v])]
+            x = np.vstack([views[v][train], _matrix([m[:3] for m in more], chosen)[v]])
+            models[v].fit(x, np.concatenate([y[train], [m[3] for m in more]]))
+        if r == rounds:
             break
-        # What each view is sure of, good and bad in the labelled proportion, is a label for the other.
-        for v in (0, 1):
-            p = 1 / (1 + np.exp(-np.clip(models[v].margin(spare[v]), -30, 30)))
-            new = [i for i in range(len(pool)) if i not in extra[1 - v]]
-            n_good, n_bad = int(ADDED * share * len(pool)), int(ADDED * (1 - share) * len(pool)) + 1
-            for i in sorted(new, key=lambda i: (-p[i], i))[:n_good]:
-                if p[i] >= SURE:
-                    extra[1 - v][i] = 1.0
-            for i in sorted(new, key=lambda i: (p[i], i))[:n_bad]:
-                if p[i] <= 1 - SURE:
-                    extra[1 - v][i] = 0.0
+        # What a view is sure of is a label for the other.
+        for v, found in enumerate(most_sure(chosen, models, [set(e) for e in extra], n_good, n_bad)):
+            extra[1 - v] |= {key: (*row, float(label)) for key, *row, label in found if key not in extra[1 - v]}
     both = squash(np.column_stack([models[v].margin(views[v][check]) for v in (0, 1)]))
     joint = calibrated(both, y[check])
     score = combined(joint, both)
@@ -203,47 +210,93 @@ def co_train(rows: list, y: np.ndarray, pool: list, rounds: int = ROUNDS) -> CoT
     return CoTrained(chosen, models[0], models[1], joint, threshold)
 
 
-def _collected(df: DataFrame) -> tuple[list, np.ndarray]:
-    """Features and labels of few rows: _wl_text, _wl_lang, _wl_source, _wl_n, _wl_rank, y."""
+SEEN = "words array<int>, stats array<double>, meta array<int>"
+
+
+def _featured(df: DataFrame, names: tuple[str, ...], carried: str, chosen: np.ndarray | None = None) -> DataFrame:
+    """carried columns of df (text, lang, source, n_chars under names) and its features; of the words the chosen ones alone, if given."""
+    kinds = {"bigint": pa.int64(), "int": pa.int32()}
+    carry = [(c.split()[0], kinds[c.split()[1]]) for c in carried.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Words()
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 d = whole.slice(at, 500).to_pydict()
-                each = [features(*x, memo) for x in zip(d["_wl_text"], d["_wl_lang"], d["_wl_source"], d["_wl_n"], strict=True)]
-                cols = [pa.array([e[k].tolist() for e in each], kind) for k, kind in enumerate((pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.int32())))]
-                yield pa.RecordBatch.from_arrays([pa.array(d["_wl_rank"], pa.int64()), pa.array(d["y"], pa.int32()), *cols], ["_wl_rank", "y", "words", "stats", "meta"])
+                each = [features(*x, memo) for x in zip(*(d[n] for n in names), strict=True)]
+                words = [e[0] if chosen is None else e[0][np.isin(e[0], chosen, assume_unique=True)] for e in each]
+                cols = [pa.array([w.tolist() for w in words], pa.list_(pa.int32())), pa.array([e[1].tolist() for e in each], pa.list_(pa.float64())), pa.array([e[2].tolist() for e in each], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*(pa.array(d[c], kind) for c, kind in carry), *cols], [*(c for c, _ in carry), "words", "stats", "meta"])
 
-    got = df.select("_wl_text", "_wl_lang", "_wl_source", "_wl_n", "_wl_rank", "y").mapInArrow(trimmed(run), "_wl_rank bigint, y int, words array<int>, stats array<double>, meta array<int>").toPandas().sort_values("_wl_rank", kind="stable")
-    return [(np.asarray(w, np.int64), np.asarray(s, np.float64), np.asarray(m, np.int64)) for w, s, m in zip(got["words"], got["stats"], got["meta"], strict=True)], got["y"].to_numpy(np.int64)
+    return df.select(*names, *(c for c, _ in carry)).mapInArrow(trimmed(run), f"{carried}, {SEEN}")
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> CoTrained | None:
+def _arrays(words, stats, meta) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.asarray(words, np.int64), np.asarray(stats, np.float64), np.asarray(meta, np.int64)
+
+
+def sure_rows(seen: DataFrame, chosen: np.ndarray, models: list[Logistic], used: list[set[int]], n_good: int, n_bad: int) -> list[list[tuple]]:
+    """Of each view the rows of seen (key, words, stats, meta) that it is most sure of and the other has not been given: a map, and four top-k."""
+    lists = [(v, label, n) for v in (0, 1) for label, n in ((1, n_good), (0, n_bad))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                d = whole.slice(at, 2000).to_pydict()
+                rows = [_arrays(*x) for x in zip(d["words"], d["stats"], d["meta"], strict=True)]
+                p = [1 / (1 + np.exp(-np.clip(m.margin(x), -30, 30))) for m, x in zip(models, _matrix(rows, chosen), strict=True)]
+                out = []
+                for k, (v, label, n) in enumerate(lists):
+                    sure = np.round(p[v] if label else 1 - p[v], 12)
+                    able = [i for i in range(len(rows)) if sure[i] >= SURE and d["key"][i] not in used[1 - v]]
+                    out += [(k, float(sure[i]), d["key"][i], d["words"][i], d["stats"][i], d["meta"][i]) for i in sorted(able, key=lambda i: (-sure[i], d["key"][i]))[:n]]
+                kinds = (pa.int32(), pa.float64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], kind) for c, kind in enumerate(kinds)], ["list", "sure", "key", "words", "stats", "meta"])
+
+    best = materialise(seen.select("key", "words", "stats", "meta").mapInArrow(trimmed(run), f"list int, sure double, key bigint, {SEEN}"), "sure")
+    tops = [best.where(F.col("list") == k).orderBy(F.desc("sure"), "key").limit(n) for k, (_, _, n) in enumerate(lists)]
+    got = tops[0].unionByName(tops[1]).unionByName(tops[2]).unionByName(tops[3]).collect()
+    return [[(x.key, *_arrays(x.words, x.stats, x.meta), lists[x.list][1]) for x in got if lists[x.list][0] == v] for v in (0, 1)]
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> CoTrained | None:
     """Co-train on documents (doc_id, text, lang, source, n_chars) and labels (doc_id, quality, toxic)."""
+    modest(docs.sparkSession)
     good = ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) != 1)).cast("int")
-    told = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("_wl_id"), good.alias("y")).groupBy("_wl_id").agg(F.min("y").alias("y"), F.max("y").alias("_y")).where("y = _y").select("_wl_id", "y")
-    rank = F.xxhash64("_wl_id", F.lit(6)).alias("_wl_rank")
-    some = told.select("*", rank).orderBy("_wl_rank").limit(max_labelled)
-    own = _columns(docs).select(F.col("_wl_id"), "_wl_text", "_wl_lang", "_wl_source", "_wl_n")
-    rows, y = _collected(own.join(F.broadcast(some), "_wl_id").dropDuplicates(["_wl_id"]))
-    # The pool: rows of least hash that are not among the labelled ones chosen; a coarse cut of the hash spares sorting all texts.
-    n = max(1, docs.count())
-    cut = F.pmod(F.xxhash64("_wl_id", F.lit(7)), F.lit(max(1, n // (2 * max_pool))))
-    pool = own.where("_wl_id is not null").where(cut == 0).join(F.broadcast(some.select("_wl_id")), "_wl_id", "left_anti")
-    keys = pool.select("_wl_id", rank).distinct().orderBy("_wl_rank").limit(max_pool)
-    spare, _ = _collected(pool.join(F.broadcast(keys), "_wl_id").dropDuplicates(["_wl_id"]).withColumn("y", F.lit(0)))
-    return co_train(rows, y, spare)
-
-
-def _columns(docs: DataFrame) -> DataFrame:
-    have = dict(docs.dtypes)
-    col = lambda name, kind: (F.col(name) if name in have else F.lit(None)).cast(kind)
-    return docs.select("*", col("doc_id", "long").alias("_wl_id"), col("text", "string").alias("_wl_text"), col("lang", "string").alias("_wl_lang"), col("source", "string").alias("_wl_source"), col("n_chars", "long").alias("_wl_n"))
+    told = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("id"), good.alias("y")).groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").select("id", "y")
+    rank = F.xxhash64("id", F.lit(6)).alias("rank")
+    some = told.select("*", rank).orderBy("rank", "id").limit(max_labelled)
+    names = ("text", "lang", "source", "n")
+    own, put = _columns(docs)
+    own = own.select(*(F.col(put[k]).alias(k) for k in ("id", *names)))
+    # One document of each labelled id, the same in every run.
+    one = own.join(F.broadcast(some), "id").groupBy("id", "rank", "y").agg(F.min(F.struct(F.xxhash64(*names).alias("h"), *names)).alias("x"))
+    got = _featured(one.select("rank", "y", "x.*"), names, "rank bigint, y int").toPandas().sort_values("rank", kind="stable")
+    rows, y = [_arrays(*x) for x in zip(got["words"], got["stats"], got["meta"], strict=True)], got["y"].to_numpy(np.int64)
+    kept: list[DataFrame] = []
+
+    def most_sure(chosen: np.ndarray, *asked) -> list[list[tuple]]:
+        if not kept:
+            rest = own.join(F.broadcast(some.select("id")), "id", "left_anti").withColumn("none", F.lit(0))
+            seen = _featured(rest, names, "none int", chosen)
+            kept.append(materialise(seen.select(F.xxhash64("words", "stats", "meta").alias("key"), "words", "stats", "meta").dropDuplicates(["key"]), "unlabelled"))
+        return sure_rows(kept[0], chosen, *asked)
+
+    model = co_train(rows, y, most_sure)
+    discard(*kept)
+    return model
+
+
+def _columns(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with what the views read, under names that no column of docs has; the names of id, text, lang, source and n."""
+    have, wanted = dict(docs.dtypes), {"id": ("doc_id", "long"), "text": ("text", "string"), "lang": ("lang", "string"), "source": ("source", "string"), "n": ("n_chars", "long")}
+    put = dict(zip(wanted, unused(docs, *(f"_wl_{k}" for k in wanted)), strict=True))
+    return docs.select("*", *((F.col(f"`{c}`") if c in have else F.lit(None)).cast(kind).alias(put[k]) for k, (c, kind) in wanted.items())), put
 
 
 def classify(docs: DataFrame, model: CoTrained | None, with_text: bool = True) -> DataFrame:
     """docs with text_margin, meta_margin, score (probability of good) and kept; a map over all rows."""
+    modest(docs.sparkSession)
     made = T.StructType([T.StructField("text_margin", T.DoubleType()), T.StructField("meta_margin", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("kept", T.BooleanType())])
     carried = [f for f in docs.schema if f.name not in made.names and (with_text or f.name != "text")]
     names = [f.name for f in carried]
@@ -260,9 +313,9 @@ def classify(docs: DataFrame, model: CoTrained | None, with_text: bool = True) -
                 yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), *(pa.array([x[k] for x in out], pa.float64()) for k in range(3)), pa.array(kept, pa.bool_())], [*names, *made.names])
 
     # What a row brings under its own name is not sent twice.
-    kinds = {f.name: f.dataType for f in carried}
-    seen = [own if kinds.get(own) == kind else put for own, put, kind in (("text", "_wl_text", T.StringType()), ("lang", "_wl_lang", T.StringType()), ("source", "_wl_source", T.StringType()), ("n_chars", "_wl_n", T.LongType()))]
-    return _columns(docs).select(*(f"`{n}`" for n in dict.fromkeys([*names, *seen]))).mapInArrow(trimmed(run), T.StructType([*carried, *made]))
+    kinds, (wide, put) = {f.name: f.dataType for f in carried}, _columns(docs)
+    seen = [own if kinds.get(own) == kind else put[k] for own, k, kind in (("text", "text", T.StringType()), ("lang", "lang", T.StringType()), ("source", "source", T.StringType()), ("n_chars", "n", T.LongType()))]
+    return wide.select(*(f"`{n}`" for n in dict.fromkeys([*names, *seen]))).mapInArrow(trimmed(run), T.StructType([*carried, *made]))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
