@@ -2,13 +2,13 @@
 
 A document and a benchmark item that share a token seed are compared: the longest
 non-overlapping matches are marked again and again, found by running Karp-Rabin
-hashes of falling length, until none of MIN_TILE tokens is left. The tiles' share of
+hashes, until none of MIN_TILE tokens is left. The tiles' share of
 the item's tokens is its coverage, whatever order its parts stand in; at COVERAGE or
 more the document is contaminated by the item.
 
 Tokens are words, A-Z lower-cased. The benchmark is a stated query set: it is held by
 the workers in blocks of at most BLOCK_TOKENS tokens, each block against all rows in
-one pass without a shuffle.
+one pass without a shuffle. A worker holds one block at a time.
 
 Defined results: null and empty texts, of documents and of items, match nothing; an
 item of fewer words than a seed is sought as a whole; rows and items that are alike
@@ -25,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import table, trimmed
+from weftline.llm.common import materialise, modest, table, trimmed
 
 SEED, MIN_TILE, COVERAGE = 5, 4, 0.5
 BLOCK_TOKENS = 2_000_000
 K = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(int(K), -1, 1 << 64))
 
 
 def words_of(text: str | bytes | None) -> list[bytes]:
@@ -40,7 +41,7 @@ def words_of(text: str | bytes | None) -> list[bytes]:
 
 
 def _hashes(ids: np.ndarray, n: int) -> np.ndarray:
-    """Karp-Rabin hash of each run of n tokens."""
+    """Hash of each run of n tokens, a seed's few."""
     m = len(ids) - n + 1
     if m <= 0:
         return np.empty(0, np.uint64)
@@ -50,33 +51,75 @@ def _hashes(ids: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
+class Rolled:
+    """Prefix hashes of a token sequence: the running Karp-Rabin hash of any run of tokens is a difference, whatever its length."""
+
+    def __init__(self, ids: np.ndarray):
+        n = len(ids)
+        self.back = np.full(n + 1, INVERSE, np.uint64)
+        power = np.full(n + 1, K, np.uint64)
+        self.back[0] = power[0] = 1
+        self.back, power = np.cumprod(self.back, dtype=np.uint64), np.cumprod(power, dtype=np.uint64)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(ids * power[:n], dtype=np.uint64)])
+
+    def of(self, at: np.ndarray, n: int) -> np.ndarray:
+        return (self.sums[at + n] - self.sums[at]) * self.back[at]
+
+
 def tiles(doc: np.ndarray, item: np.ndarray, least: int = MIN_TILE) -> list[tuple[int, int, int]]:
-    """(place in the document, place in the item, tokens) of the greedy tiles; 0 in doc matches nothing."""
+    """(place in the document, place in the item, tokens) of the greedy tiles; 0 in doc matches nothing.
+
+    The longest match of a round is found by halving: where a run of n free tokens
+    matches, one of fewer does. Hashes only propose; tokens are compared before a mark.
+    """
     doc, item = doc.astype(np.uint64), item.astype(np.uint64)
     least = min(least, max(1, len(item)))
     free_doc, free_item = doc != 0, np.ones(len(item), bool)
-    found, length = [], len(item)
-    while length >= least:
-        # Runs of this length that are free on both sides and hash alike, in the order of the document.
-        open_doc, open_item = _free_runs(free_doc, length), _free_runs(free_item, length)
-        best: list[tuple[int, int, int]] = []
-        if len(open_doc) and len(open_item):
-            of_item: dict[int, list[int]] = {}
-            for p, h in zip(open_item.tolist(), _hashes(item, length)[open_item].tolist(), strict=True):
-                of_item.setdefault(h, []).append(p)
-            of_doc = _hashes(doc, length)[open_doc]
-            for at in np.flatnonzero(np.isin(of_doc, np.fromiter(of_item, np.uint64, len(of_item)))).tolist():
-                d = int(open_doc[at])
-                best += [(d, p, length) for p in of_item[int(of_doc[at])]]
-        marked = False
-        for d, p, n in best:
-            if free_doc[d : d + n].all() and free_item[p : p + n].all() and (doc[d : d + n] == item[p : p + n]).all():
-                free_doc[d : d + n] = False
-                free_item[p : p + n] = False
-                found.append((d, p, n))
-                marked = True
-        left = int(free_item.sum())
-        length = min(length if marked else length - 1, _longest_run(free_item)) if left else 0
+    of_doc, of_item = Rolled(doc), Rolled(item)
+
+    def met(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places and hashes of the free runs of n tokens that hash alike on both sides."""
+        d, p = _free_runs(free_doc, n), _free_runs(free_item, n)
+        h, g = of_doc.of(d, n), of_item.of(p, n)
+        both = np.intersect1d(h, g)
+        x, y = np.isin(h, both), np.isin(g, both)
+        return d[x], h[x], p[y], g[y]
+
+    found, most = [], min(_longest_run(free_doc), len(item))
+    while most >= least:
+        low, high = least - 1, most
+        while low < high:
+            mid = (low + high + 1) // 2
+            if len(met(mid)[0]):
+                low = mid
+            else:
+                high = mid - 1
+        n = low
+        if n < least:
+            break
+        d_at, d_hash, p_at, p_hash = met(n)
+        waiting: dict[int, list[int]] = {}
+        for p, h in zip(p_at[::-1].tolist(), p_hash[::-1].tolist(), strict=True):
+            waiting.setdefault(h, []).append(p)
+        end = 0
+        for d, h in zip(d_at.tolist(), d_hash.tolist(), strict=True):
+            if d < end:
+                continue
+            # Places of the item in their order, from the end of the list; one that is taken stays so.
+            at, passed = waiting[h], []
+            while at:
+                p = at.pop()
+                if not free_item[p : p + n].all():
+                    continue
+                if (doc[d : d + n] == item[p : p + n]).all():
+                    free_doc[d : d + n] = False
+                    free_item[p : p + n] = False
+                    found.append((d, p, n))
+                    end = d + n
+                    break
+                passed.append(p)  # another run of the same hash
+            at.extend(reversed(passed))
+        most = min(n - 1, _longest_run(free_doc), _longest_run(free_item))
     return found
 
 
@@ -142,6 +185,7 @@ SCHEMA = "doc_id bigint, item_id bigint, coverage double, n_tiles bigint, longes
 def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", coverage: float = COVERAGE, seed: int = SEED, least: int = MIN_TILE, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """A row for each document and item that contaminates it: doc_id, item_id, coverage, n_tiles, longest, tiles (document:item:tokens)."""
     spark = docs.sparkSession
+    modest(spark)
     src, out = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")), None
     for items in _blocks(bench, item_id_col, item_text_col, block_tokens):
         held = spark.sparkContext.broadcast(Block(items, seed))
@@ -169,10 +213,13 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", coverage: float = COVERAGE, seed: int = SEED, least: int = MIN_TILE, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """docs without the contaminated rows: a filter for each block of items, so no row is moved."""
+    """docs without the contaminated rows: a filter for each block of items, so no row is moved; between blocks the rest is written to the shared folder."""
     names, schema = docs.columns, docs.schema
     at_text = names.index(text_col)
-    for items in _blocks(bench, item_id_col, item_text_col, block_tokens):
+    modest(docs.sparkSession)
+    for k, items in enumerate(_blocks(bench, item_id_col, item_text_col, block_tokens)):
+        if k:
+            docs = materialise(docs, "clean")
         held = docs.sparkSession.sparkContext.broadcast(Block(items, seed))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
