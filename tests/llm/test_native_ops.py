@@ -67,8 +67,8 @@ def test_secrets_match_brute_force(spark):
     for r in got:
         t = TEXTS[3] if r.doc_id is None else TEXTS[r.doc_id]
         base = base_spans(t)
-        assert [tuple(x) for x in r.base] == base, t
-        assert [tuple(x) for x in r.linked] == linked_spans(t, base), t
+        assert [tuple(x)[:4] for x in r.base] == base, t
+        assert [tuple(x)[:4] for x in r.linked] == linked_spans(t, base), t
     assert secret_scan.scan(docs.where("false")).count() == 0
 
 
@@ -91,6 +91,19 @@ def test_redaction_keeps_the_rest(spark):
         assert r.text == (want + t[at:] if spans else t) and (r._key, r.linked) == (1, 2)
 
 
+def test_very_long_text_is_not_quadratic(spark):
+    import time
+
+    took, part = [], "é token=abcdefgh1 user=bob pwd=geheim http://h/x word word. "
+    for n in (20_000, 40_000, 80_000):
+        docs = spark.createDataFrame([(1, part * n)], SCHEMA)
+        began = time.time()
+        r = secret_scan.redact(docs).collect()[0]
+        took.append(time.time() - began)
+        assert r.text == "é [SECRET] [SECRET] [SECRET] [SECRET] word word. " * n
+    assert took[2] < 3 * took[1] + 2, took
+
+
 URLS = [None, "", "no scheme", "http://", "HTTP://A.NET/x", "http://net", "http://net/", "http://b.example.net/en/1", "http://xexample.net/en/1", "http://example.com/de/1?x", "http://a.example.com/de", "ftp://org/fr/", "http://o.org/fr/x#y", "a://b.net://c/", "http://example.net:80/en/", "http://net?x/", "http://É.ORG/fr/"]
 
 

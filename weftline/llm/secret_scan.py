@@ -17,10 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import let, materialise, row_key, table
+from weftline.llm.common import let, materialise, row_key, table, unused
 
 #: Code points between a secret and a part that may complement it.
 SCOPE = 200
+SPANS = "array<struct<s:int,o:int,e:int,kind:string,bs:int,be:int>>"
 
 
 def cased(words: str) -> str:
@@ -44,34 +45,47 @@ CLASS = {"assign": "secret", "access": "ident", "hex": "secret"} | {k: c for k,
 ORDER = {k: i for i, k in enumerate([*(b[0] for b in BASE), *(w[0] for w in WEAK)])}
 
 
-def _spans(text: Column, kind: str, pattern: str, group: int = 0, least: int = 0, must: list[str] | None = None) -> Column:
-    """array<struct<s, o, e, kind>> of the leftmost non-overlapping matches, without those whose group is too short or lacks what it must hold.
+def running(values: Column, join) -> Column:
+    """Running sums (or what join makes of two values) of an array, in rounds that each double the reach: no list is copied for each element."""
+
+    def rounds(a: Column) -> Column:
+        reach = F.sequence(F.lit(0), F.ceil(F.log2(F.size(a).cast("double"))).cast("int") - 1)
+        return F.aggregate(reach, a, lambda acc, k: F.transform(acc, lambda x, i: F.coalesce(join(x, F.get(acc, i - F.call_function("shiftleft", F.lit(1), k))), x)))
+
+    return let(values, lambda a: F.when(F.size(a) < 2, a).otherwise(rounds(a)))
+
+
+def _spans(text: Column, kind: str, pattern: str, group: int = 0, least: int = 0, must: list[str] | None = None, in_bytes: bool = False) -> Column:
+    """array<struct<s, o, e, kind, bs, be>> of the leftmost non-overlapping matches, without those whose group is too short or lacks what it must hold.
 
     What lies between the matches comes from split, the matches from regexp_extract_all
-    with the same pattern; their lengths, summed up, are the positions.
+    with the same pattern; running sums of their lengths are the positions. bs, be: the
+    position in bytes (only in_bytes; else null).
     """
-    empty = F.array().cast("array<struct<s:int,o:int,e:int,kind:string>>")
-    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    whole = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.length(x))
+    empty = F.array().cast(SPANS)
+    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("all"), (F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else F.array().cast("array<string>")).alias("val"))
+    # The last gap has no match behind it.
+    parts = F.filter(parts, lambda x: x["all"].isNotNull())
 
     def judged(x: Column) -> Column:
-        n = F.length(x)
+        value = x["val"] if group else x["all"]
+        ok = F.length(value) >= least
         for m in must or []:
-            n = F.when(F.rlike(x, F.lit(m)), n).otherwise(-1)
-        return n
+            ok = ok & F.rlike(value, F.lit(m))
+        return ok
 
-    value = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), judged) if group or must else whole
-    parts = F.arrays_zip(F.slice(gaps, 1, F.size(whole)).alias("gap"), whole.alias("len"), value.alias("val"))
-    start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
+    def lengths(f) -> Column:
+        return F.transform(parts, lambda x: F.struct((f(x["gap"]) + f(x["all"])).alias("to"), f(x["all"]).alias("n")))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["0"]
-        e = s + x["1"]
-        span = F.struct(s.alias("s"), F.lit(ORDER[kind]).alias("o"), e.alias("e"), F.lit(kind).alias("kind"))
-        return F.struct(e.alias("at"), F.when(x["2"] >= least, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
+    def places(sized: Column) -> Column:
+        ends = running(F.transform(sized, lambda x: x["to"]), lambda x, y: x + y)
+        return F.arrays_zip(ends.alias("e"), F.transform(sized, lambda x: x["n"]).alias("n"))
 
-    parts = F.transform(parts, lambda x: F.struct(x["gap"].alias("0"), x["len"].alias("1"), x["val"].alias("2")))
-    return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(parts, start, step, lambda acc: acc["found"])).otherwise(empty)
+    chars = places(lengths(F.length))
+    octets = places(lengths(F.octet_length)) if in_bytes else F.transform(parts, lambda x: F.struct(F.lit(None).cast("int").alias("e"), F.lit(0).alias("n")))
+    told = F.arrays_zip(chars.alias("c"), octets.alias("b"), F.transform(parts, judged).alias("ok"))
+    made = F.transform(F.filter(told, lambda x: x["ok"]), lambda x: F.struct((x["c"]["e"] - x["c"]["n"]).alias("s"), F.lit(ORDER[kind]).alias("o"), x["c"]["e"].alias("e"), F.lit(kind).alias("kind"), (x["b"]["e"] - x["b"]["n"]).alias("bs"), x["b"]["e"].alias("be")))
+    return F.when(F.rlike(text, F.lit(pattern)), made).otherwise(empty)
 
 
 def _written(spans: Column) -> Column:
@@ -83,14 +97,27 @@ def _union(*arrays: Column) -> Column:
     return F.sort_array(F.concat(*arrays))
 
 
-def base_and_weak(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _free(weak: Column, base: Column) -> Column:
+    """The weak spans that overlap no base span.
+
+    Ends of weak and starts of base spans are laid out in order; before a weak span's end
+    the furthest base end so far, a running maximum, tells whether one reaches into it.
+    """
+    at = lambda x, place, base_end: F.struct(place.alias("at"), base_end.alias("to"), x.alias("x"))
+    none = F.lit(None).cast(SPANS[6:-1])
+    order = F.sort_array(F.concat(F.transform(weak, lambda x: at(x, x["e"], F.lit(0))), F.transform(base, lambda b: at(none, b["s"], b["e"]))))
+    reach = let(order, lambda o: F.arrays_zip(o.alias("p"), running(F.transform(o, lambda p: p["to"]), F.greatest).alias("to")))
+    kept = F.filter(reach, lambda z: z["p"]["x"].isNotNull() & (z["to"] <= z["p"]["x"]["s"]))
+    return F.sort_array(F.transform(kept, lambda z: z["p"]["x"]))
+
+
+def base_and_weak(docs: DataFrame, id_col: str, text_col: str, in_bytes: bool = False) -> DataFrame:
     """A row for each document without its text: _id, _key, base (sorted spans), weak (sorted spans that overlap no base span)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = F.sort_array(F.concat(*[_spans(text, *b) for b in BASE]))
-    weak = F.sort_array(F.concat(*[_spans(text, k, p, must=m) for k, _, p, m in WEAK]))
+    base = F.sort_array(F.concat(*[_spans(text, *b, in_bytes=in_bytes) for b in BASE]))
+    weak = F.sort_array(F.concat(*[_spans(text, k, p, must=m, in_bytes=in_bytes) for k, _, p, m in WEAK]))
     found = docs.select(F.col(id_col).alias("_id"), row_key(id_col, text_col).alias("_key"), base.alias("base"), weak.alias("weak"))
-    free = F.filter("weak", lambda w: ~F.exists("base", lambda b: (b["s"] < w["e"]) & (w["s"] < b["e"])))
-    return found.withColumn("weak", F.when((F.size("weak") == 0) | (F.size("base") == 0), F.col("weak")).otherwise(free))
+    return found.withColumn("weak", F.when((F.size("weak") == 0) | (F.size("base") == 0), F.col("weak")).otherwise(_free(F.col("weak"), F.col("base"))))
 
 
 def link(found: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -115,14 +142,32 @@ def link(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     return hit.groupBy("_key").agg(F.sort_array(F.collect_set("p")).alias("linked"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
-    """A row for each document: id, base (array of spans s, o, e, kind), linked (array), both sorted.
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE, in_bytes: bool = False) -> DataFrame:
+    """A row for each document: id, base (array of spans s, o, e, kind, bs, be), linked (array), both sorted.
 
     The texts are read once; what is found goes to the shared folder and is joined from there.
     """
-    found = materialise(base_and_weak(docs, id_col, text_col), "secrets")
-    none = F.array().cast("array<struct<s:int,o:int,e:int,kind:string>>")
-    return found.join(link(found, scope), "_key", "left").select(F.col("_id").alias(id_col), "base", F.coalesce("linked", none).alias("linked"), "_key")
+    found = materialise(base_and_weak(docs, id_col, text_col, in_bytes), "secrets")
+    linked = link(found, scope)
+    # Rows alike in id and text are joined with the one row of their key; those without weak parts have nothing to join.
+    bare = found.where("size(weak) = 0").select("_id", "base", F.array().cast(SPANS).alias("linked"), "_key")
+    met = found.where("size(weak) > 0").join(linked, "_key", "left").select("_id", "base", F.coalesce("linked", F.array().cast(SPANS)).alias("linked"), "_key")
+    return bare.unionByName(met).withColumnRenamed("_id", id_col)
+
+
+def _cut(text: Column, spans: Column, mark: str) -> Column:
+    """The text with each run of overlapping spans (sorted, with bytes) replaced by mark."""
+    raw = F.encode(text, "UTF-8")
+
+    def pieces(r: Column, z: Column) -> Column:
+        # Up to where the spans before it reach; a span that starts before that belongs to their run.
+        before = lambda i: F.coalesce(F.get(z, i - 1)["to"], F.lit(0))
+        own = F.transform(z, lambda x, i: F.when(x["x"]["bs"] >= before(i), F.decode(F.substring(r, before(i) + 1, x["x"]["bs"] - before(i)), "UTF-8")))
+        last = F.element_at(z, -1)["to"]
+        return F.array_join(F.concat(F.filter(own, lambda p: p.isNotNull()), F.array(F.decode(F.substring(r, last + 1, F.length(r)), "UTF-8"))), mark)
+
+    reach = F.arrays_zip(spans.alias("x"), running(F.transform(spans, lambda x: x["be"]), F.greatest).alias("to"))
+    return let(raw, lambda r: let(reach, lambda z: pieces(r, z)))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
@@ -131,17 +176,11 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
     Overlapping spans are merged first. Spans are joined back by id and text, and only
     documents that have any meet the join; the rest pass straight through.
     """
-    spans = scan(docs, id_col, text_col)
-    all_spans = spans.select(F.col("_key").alias("_wl_key"), _union("base", "linked").alias("_wl_spans")).where(F.size("_wl_spans") > 0).dropDuplicates(["_wl_key"])
-    keyed = docs.withColumn("_wl_key", row_key(id_col, text_col))
-    init = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def cut(text: Column, merged: Column) -> Column:
-        done = F.aggregate(merged, init, lambda acc, x: F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))).alias("out")))
-        return let(done, lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.length(text))))
-
-    joined = keyed.join(all_spans, "_wl_key", "left")
-    new = F.when(F.col("_wl_spans").isNull(), F.col(text_col)).otherwise(cut(F.coalesce(F.col(text_col), F.lit("")), F.col("_wl_spans")))
+    at_key, at_spans = unused(docs, "_wl_key", "_wl_spans")
+    spans = scan(docs, id_col, text_col, in_bytes=True)
+    all_spans = spans.select(F.col("_key").alias(at_key), _union("base", "linked").alias(at_spans)).where(F.size(at_spans) > 0).dropDuplicates([at_key])
+    joined = docs.withColumn(at_key, row_key(id_col, text_col)).join(all_spans, at_key, "left")
+    new = F.when(F.col(at_spans).isNull(), F.col(text_col)).otherwise(_cut(F.coalesce(F.col(text_col), F.lit("")), F.col(at_spans), mark))
     return joined.withColumn(text_col, new).select(*(f"`{c}`" for c in docs.columns))
 
 
