@@ -4,6 +4,10 @@ Each round points every node's larger neighbours at its smallest one, then the n
 itself (large star, small star); the number of rounds grows with the logarithm of
 the longest path. Edges stay distributed and every round is written to the shared
 folder, which ends its lineage; only counts reach the driver.
+
+Defined results: an edge with a null end, and one from a node to itself, links nothing
+and names no node; repeated and reversed edges are one; no edges give no rows; further
+columns are ignored.
 """
 
 from __future__ import annotations
