@@ -22,13 +22,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import SPACE, join_one, materialise, table, trimmed
+from weftline.llm.common import SPACE, join_one, materialise, modest, table, trimmed, unused
 from weftline.llm.components import components
+from weftline.llm.words import word_hashes
 
 WORDS = 5
 #: Similarity in hundredths.
@@ -51,35 +53,26 @@ COPIES, COPIED = 16, 100_000
 BLOCK_TOKENS, BLOCK_SETS = 2_000_000, 4096
 #: Row keys up to this number are broadcast (8 bytes each), more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
-#: Word hashes that a worker keeps (about 150 bytes each), and shingles of rows whose frequent ones are counted together.
-MEMO, TOGETHER = 100_000, 1_500_000
+#: Shingles of rows whose frequent ones are counted together.
+TOGETHER = 1_500_000
 K = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Memo(dict):
-    """Hash of a word; forgotten when it grows beyond MEMO words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MEMO:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-def shingles(text: bytes, memo: Memo, n: int = WORDS) -> np.ndarray:
-    """Shingle hashes of a text in its order (bytes.split and bytes.lower treat ASCII alone, as the words are defined)."""
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, np.int64)
-    h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-    if len(h) < n:
-        return np.array([xxhash.xxh64_intdigest(h.tobytes(), len(h))], np.uint64).view(np.int64)
-    s = h[: len(h) - n + 1].copy()
+def shingles(texts: list[bytes], n: int = WORDS) -> Iterator[np.ndarray]:
+    """Shingle hashes of each text, in its order."""
+    h, size = word_hashes(texts)
+    s = h[: max(0, len(h) - n + 1)].copy()
     for k in range(1, n):
         s *= K
         s += h[k : len(h) - n + 1 + k]
     s ^= s >> np.uint64(29)
-    return s.view(np.int64)
+    start = 0
+    for m in size.tolist():
+        if m >= n:
+            yield s[start : start + m - n + 1].view(np.int64)
+        else:
+            yield np.array([xxhash.xxh64_intdigest(h[start : start + m].tobytes(), m)][:m], np.uint64).view(np.int64)
+        start += m
 
 
 def prefix_len(n: int, similar: int = SIMILAR) -> int:
@@ -117,14 +110,13 @@ def _map_sets(docs: DataFrame, schema: str, one, n: int, rows: int = 2000) -> Da
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo()
         for whole in batches:
             for at in range(0, whole.num_rows, rows):
                 batch = whole.slice(at, rows)
                 ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 out = []
-                for i, k, t in zip(ids, keys, _texts(batch), strict=True):
-                    x = one(i, k, shingles(t, memo, n))
+                for i, k, flow in zip(ids, keys, shingles(_texts(batch), n), strict=True):
+                    x = one(i, k, flow)
                     if x is not None:
                         out.append(x)
                 cols = list(zip(*out, strict=True)) if out else [[] for _ in names]
@@ -135,29 +127,34 @@ def _map_sets(docs: DataFrame, schema: str, one, n: int, rows: int = 2000) -> Da
 
 
 def _described(words: int):
-    """A map over docs (_id, _key, _text): each row's class, size, signature and seeds; and, in a last row of each batch (n = -1), the tokens that OFTEN of its rows have."""
+    """A map over docs (_id, _key, _text): each row's class, size, signature and seeds; and, in a further row for every TOGETHER shingles (n = -1), the tokens that OFTEN of those rows have."""
     names = ["_id", "_key", "sid", "n", "sig", "seeds", "often", "times"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo()
+        every, held = [], 0
+
+        def counted() -> pa.RecordBatch:
+            token, times = np.unique(np.concatenate(every), return_counts=True)
+            often = times >= OFTEN
+            return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip((None, None, None, -1, None, None, token[often].tolist(), times[often].tolist()), kinds, strict=True)], names)
+
         for whole in batches:
-            every, held = [], 0
             for at in range(0, whole.num_rows, 2000):
                 batch, rows, seeds = whole.slice(at, 2000), [], []
-                for i, k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch), strict=True):
-                    s = np.unique(shingles(t, memo, words))
+                for i, k, flow in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingles(_texts(batch), words), strict=True):
+                    s = np.unique(flow)
                     every.append(s)
                     held += len(s)
                     seeds.append(s[s & (SEEDS - 1) == 0])
                     rows.append((i, k, _sid(s), len(s), signature(s)) if len(s) else (i, k, None, 0, None))
                 cols = [pa.array([r[c] for r in rows], kinds[c]) for c in range(5)]
                 yield pa.RecordBatch.from_arrays([*cols, _lists(seeds), *(pa.array([None] * len(rows), kind) for kind in kinds[6:])], names)
-                if held > TOGETHER or at + 2000 >= whole.num_rows:
-                    token, times = np.unique(np.concatenate(every), return_counts=True)
-                    often = times >= OFTEN
-                    yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip((None, None, None, -1, None, None, token[often].tolist(), times[often].tolist()), kinds, strict=True)], names)
+                if held > TOGETHER:
+                    yield counted()
                     every, held = [], 0
+        if every:
+            yield counted()
 
     return run
 
@@ -166,10 +163,15 @@ def _sid(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def _common(tokens: DataFrame) -> np.ndarray:
-    """Tokens (t, c) of more than FREQUENT rows, the COMMON most frequent at most, sorted."""
-    counted = tokens.groupBy("t").agg(F.sum("c").alias("c")).where(F.col("c") > FREQUENT).orderBy(F.desc("c"), "t").limit(COMMON)
-    return np.sort(counted.select("t").toPandas()["t"].to_numpy(np.int64))
+def _common(tokens: DataFrame) -> pd.DataFrame:
+    """Tokens (t, c) of more than FREQUENT rows, the COMMON most frequent at most."""
+    return tokens.groupBy("t").agg(F.sum("c").alias("c")).where(F.col("c") > FREQUENT).orderBy(F.desc("c"), "t").limit(COMMON).toPandas()
+
+
+def _most(*counted: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+    """The COMMON most frequent tokens of all, with their counts; and these tokens, sorted."""
+    whole = pd.concat(counted).sort_values(["c", "t"], ascending=[False, True]).drop_duplicates("t").head(COMMON)
+    return whole, np.sort(whole["t"].to_numpy(np.int64))
 
 
 def _bounded(sig_a: bytes | None, sig_b: bytes | None) -> int:
@@ -355,6 +357,7 @@ def _lists_of(own: DataFrame, common: np.ndarray, held, words: int, similar: int
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
     """A row for each document: id, n_shingles, component_id (least id reachable by links), class_id (equal sets), group_id (linked classes), _key (of the row)."""
     spark = docs.sparkSession
+    modest(spark)
     own = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_key"), F.col(text_col).alias("_text"))
 
     schema = "_id bigint, _key bigint, sid bigint, n int, sig binary, seeds array<bigint>, often array<bigint>, times array<int>"
@@ -369,7 +372,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Which tokens are common: first among the seeds of all sets, then among all tokens that stand near a common seed.
     first = some.join(F.broadcast(copied), "sid", "left").where("rep is null or rep = _key")
     often = told.where("n < 0").select(F.inline(F.arrays_zip("often", "times"))).select(F.col("often").alias("t"), F.col("times").cast("long").alias("c"))
-    common = np.union1d(_common(first.select(F.explode("seeds").alias("t"), F.lit(1).cast("long").alias("c"))), _common(often))[:COMMON]
+    counts, common = _most(_common(first.select(F.explode("seeds").alias("t"), F.lit(1).cast("long").alias("c"))), _common(often))
     if len(common):
         seen = spark.sparkContext.broadcast(common)
 
@@ -383,7 +386,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             np.add.at(edge, np.minimum(at + np.where(gap <= GAP, gap, NEAR) + 1, len(flow)), -1)
             return (np.unique(flow[np.cumsum(edge[:-1]) > 0]),)
 
-        common = np.union1d(common, _common(_map_sets(own, "s array<bigint>", involved, words).select(F.explode("s").alias("t"), F.lit(1).cast("long").alias("c"))))[:COMMON]
+        counts, common = _most(counts, _common(_map_sets(own, "s array<bigint>", involved, words).select(F.explode("s").alias("t"), F.lit(1).cast("long").alias("c"))))
     for turn in range(TURNS):
         lists = materialise(_lists_of(own, common, held, words, similar), "lists")
         long = lists.where(F.col("m") > SHORT).groupBy("t").agg(F.first("m").cast("long").alias("c"))
@@ -392,7 +395,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         # Common tokens that were missed are ordered last too, unless they are hardly worth another pass.
         if turn + 1 == TURNS or late["c"].sum() * 20 <= classes.count():
             break
-        common = np.union1d(common, late["t"].to_numpy(np.int64))[:COMMON]
+        counts, common = _most(counts, late)
 
     short = lists.where(F.col("m") <= SHORT)
     a, b = (short.select("t", *[F.col(c).alias(f"{c}_{x}") for c in ("sid", "n", "pos")]) for x in "ab")
@@ -440,16 +443,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     chosen = marked.where("group_id is not null").groupBy("group_id").agg(first.alias("x")).select(F.col("x.key").alias("_key"), F.col("x.id").alias("_id"))
     rows = marked.where("group_id is not null").groupBy("_key", F.col(id_col).alias("_id")).agg(F.count(F.lit(1)).alias("c"))
     chosen = materialise(chosen.join(rows, (chosen["_key"] == rows["_key"]) & chosen["_id"].eqNullSafe(rows["_id"])).select(chosen["_key"], chosen["_id"], "c"), "chosen")
-    keyed = docs.withColumns({"_wl_key": F.xxhash64(F.col(id_col), F.col(text_col)), "_wl_id": F.col(id_col).cast("long")})
+    at_key, at_id = unused(docs, "_wl_key", "_wl_id")
+    keyed = docs.withColumns({at_key: F.xxhash64(F.col(id_col), F.col(text_col)), at_id: F.col(id_col).cast("long")})
     wordless = keyed.where(F.coalesce(F.length(F.translate(text_col, SPACE, "")), F.lit(0)) == 0)
 
     def met(keys: DataFrame) -> DataFrame:
         keys = keys.select("_key", "_id")
         keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-        return keyed.join(keys, (keyed["_wl_key"] == keys["_key"]) & keyed["_wl_id"].eqNullSafe(keys["_id"]), "left_semi")
+        return keyed.join(keys, (keyed[at_key] == keys["_key"]) & keyed[at_id].eqNullSafe(keys["_id"]), "left_semi")
 
     names = [f"`{c}`" for c in docs.columns]
-    single, several = met(chosen.where("c = 1")), met(chosen.where("c > 1")).dropDuplicates(["_wl_key"])
+    single, several = met(chosen.where("c = 1")), met(chosen.where("c > 1")).dropDuplicates([at_key])
     return single.select(names).unionByName(several.select(names)).unionByName(wordless.select(names))
 
 
