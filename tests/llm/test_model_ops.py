@@ -42,10 +42,11 @@ def test_small_cache_and_whole_texts_give_the_same(monkeypatch):
     texts = [t or "" for t in ODD]
     codec = spm_codec.Codec(data)
     assert codec.by_word
-    by_word, _ = codec.encode(texts)
+    by_word, _, back = codec.encode(texts)
     codec.by_word = False
-    whole, same = codec.encode(texts)
+    whole, same, whole_back = codec.encode(texts)
     assert all(same) and [x.tolist() for x in by_word] == [x.tolist() for x in whole]
+    assert back == whole_back == [spm_codec.MARK not in t for t in texts]
     codec.by_word = True
     monkeypatch.setattr(spm_codec, "KEPT_WORDS", 1)
     assert [codec.encode([t])[0][0].tolist() for t in texts] == [x.tolist() for x in whole]
@@ -83,12 +84,41 @@ def unigram_model() -> bytes:
 def test_unigram_scores_are_rebuilt():
     codec = spm_codec.Codec(unigram_model())
     texts = ["abab ab", "aab ba", "c", "", "ab c\nabba", "baaab  b"]
-    ids, _ = codec.encode(texts)
+    ids, same, back = codec.encode(texts)
+    assert all(same) and all(back)
     assert [x.tolist() for x in ids] == codec.model.encode(texts)
     whole = [e.ids for e in codec.tok.encode_batch(texts, add_special_tokens=False)]
     assert whole == codec.model.encode(texts)
 
 
+@MODEL
+def test_rebuilt_parts_on_whole_texts():
+    """Normaliser, marker, byte fallback and decoder of the rebuilt tokenizer, by themselves, against the library."""
+    with open(spm_codec.MODEL_PATH, "rb") as f:
+        codec = spm_codec.Codec(f.read())
+    for t in [t for t in ODD if t]:
+        assert codec.tok.normalizer.normalize_str(t) == codec.model.normalize(t)
+        got = codec.tok.encode(t, add_special_tokens=False)
+        assert got.ids == codec.model.encode(t) and got.tokens == codec.model.encode(t, out_type=str)
+        assert codec.tok.decode(got.ids, skip_special_tokens=False) == codec.model.decode(got.ids)
+    assert all(codec.bytes[codec.tok.encode("\U0001f9ff", add_special_tokens=False).ids[1:]])
+
+
+def test_where_the_libraries_differ_the_row_says_so(monkeypatch):
+    """Ids are the rebuilt tokenizer's; a text on which it differs gets the library's and is marked."""
+    codec = spm_codec.Codec(unigram_model())
+
+    class Other:
+        def encode(self, texts, **kw):
+            return [[7, 7] if "ba" in t else codec_ids(t) for t in texts]
+
+    real = codec.model
+    codec_ids = real.encode
+    codec.model, codec.by_word = Other(), False
+    ids, same, back = codec.encode(["ab", "ba"])
+    assert same == [True, False] and ids[0].tolist() == real.encode("ab") and ids[1].tolist() == [7, 7] and back == [True, False]
+
+
 def lm_truth(rows, order=3, backoff=0.4):
     docs = [(t or "").encode().lower().split() for _, t in rows]
     grams = lambda w: Counter(tuple(w[i : i + n]) for n in range(1, order + 1) for i in range(len(w) - n + 1))
@@ -154,6 +184,22 @@ def test_tiles_are_the_greedy_ones():
         assert sorted(decontaminate.tiles(np.array(doc, np.uint64), np.array(item, np.uint64), 3)) == greedy(doc, item, 3)
 
 
+def test_tiling_of_long_items_is_not_cubic():
+    import time
+
+    r = np.random.default_rng(6)
+    took = []
+    for n in (5_000, 10_000, 20_000):
+        item, doc = r.integers(1, 1 << 40, n).astype(np.uint64), r.integers(1, 1 << 40, 2 * n).astype(np.uint64)
+        doc[50:56], doc[n : n + 9] = item[10:16], item[n // 2 : n // 2 + 9]
+        began = time.process_time()
+        assert decontaminate.tiles(doc, item) == [(n, n // 2, 9), (50, 10, 6)]
+        took.append(time.process_time() - began)
+    assert took[2] < 2 and took[2] < 3.5 * took[1] + 0.2
+    same = np.ones(20_000, np.uint64)
+    assert decontaminate.tiles(same, same[:1000]) == [(0, 0, 1000)]
+
+
 @pytest.mark.parametrize("block", [2_000_000, 10])
 def test_contamination(spark, block):
     r = random.Random(4)
@@ -185,6 +231,42 @@ def test_classifier_on_held_out_rows(spark):
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.1
 
 
+def test_co_training_is_that_of_lists(spark):
+    """The rounds over a table give the model that plain lists of all documents give."""
+    r = random.Random(8)
+    text = lambda good: " ".join(r.choice(["fine", "neat", "calm", "x", "y", "z"] if good else ["rude", "loud", "x", "y", "z", "##"]) + r.choice(["", "", str(r.randrange(9))]) for _ in range(r.randint(5, 60)))
+    rows = [(i, text(i % 3 > 0), r.choice(["en", "de"]), f"s{(i % 3 > 0) + r.randrange(3)}", 100) for i in range(700)]
+    rows += [(800 + i, *rows[500][1:]) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").withColumns({"_wl_id": F.lit("clash"), "_wl_text": F.lit("clash")})
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(0, 240)], "doc_id bigint, quality int, toxic int")
+    got = quality_classifier.fit(docs, labels)
+
+    memo = quality_classifier.Words()
+    feats = {i: quality_classifier.features(*x, memo) for i, *x in rows}
+    rank = {x.doc_id: x.r for x in docs.where("doc_id < 240").select("doc_id", F.xxhash64("doc_id", F.lit(6)).alias("r")).collect()}
+    order = sorted(rank, key=rank.get)
+    pool = list({tuple(map(bytes, feats[i])): feats[i] for i, *_ in rows if i >= 240}.values())
+    rounds = []
+
+    def most_sure(chosen, models, used, n_good, n_bad):
+        out = []
+        x = quality_classifier._matrix(pool, chosen)
+        for v in (0, 1):
+            p = np.round(1 / (1 + np.exp(-np.clip(models[v].margin(x[v]), -30, 30))), 12)
+            found = [(k, *pool[k], label) for label, n in ((1, n_good), (0, n_bad)) for k in [i for i in sorted(range(len(pool)), key=lambda i: -p[i] if label else p[i]) if i not in used[1 - v] and (p[i] if label else 1 - p[i]) >= quality_classifier.SURE][:n]]
+            out.append(found)
+        rounds.append(sum(map(len, out)))
+        return out
+
+    want = quality_classifier.co_train([feats[i] for i in order], np.array([int(i % 3 > 0) for i in order]), most_sure)
+    assert sum(rounds) > 50
+    assert np.allclose(got.words, want.words, atol=1e-6) and np.allclose(got.meta.w, want.meta.w, atol=1e-6) and got.threshold == pytest.approx(want.threshold, abs=1e-6)
+    kept = quality_classifier.classify(docs, got)
+    assert {x._wl_id for x in kept.select("_wl_id").collect()} == {"clash"}
+    score = {x.doc_id: x.score for x in kept.collect()}
+    assert all(score[i] == pytest.approx(want.score(*feats[i])[2], abs=1e-5) for i in feats)
+
+
 def test_classifier_edges(spark):
     docs = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, "x " * 50000, "de", "t", 100000)], "doc_id bigint, text string, lang string, source string, n_chars bigint").withColumn("score", F.lit("clash")).withColumn("_text", F.lit("clash"))
     labels = spark.createDataFrame([(1, 1, None), (1, 0, 0), (None, 1, 0), (2, None, 1)], "doc_id bigint, quality int, toxic int")

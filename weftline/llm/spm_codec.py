@@ -3,10 +3,11 @@
 The model file's protobuf is parsed here, field by field, and an equal tokenizer is
 rebuilt: normaliser (character map, white-space rules, dummy prefix), metaspace
 marker, unigram scores or pair merges in score order, byte fallback, decoder.
-Batches are encoded by several threads. Every text (or, where
-no piece goes beyond a word, every distinct word) is also encoded by the sentencepiece
-library; where the two differ (pieces of equal score can be merged in
-another order) the library's ids are taken, and the row says so.
+Batches are encoded by several threads; the ids returned are the rebuilt tokenizer's. Every
+text (or, where no piece goes beyond a word, every distinct word) also goes to the
+sentencepiece library; where the two differ (pieces of equal score can be merged in
+another order) the library's ids are taken, and the row says so. The rebuilt decoder
+must give the text back, word by word or as a whole.
 
 Defined results: a null text is encoded as an empty one (no ids, decoded to empty);
 each row is encoded by itself, so null ids, repeated rows and ties need no care; an
@@ -29,15 +30,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import table, trimmed
+from weftline.llm.common import KEPT, modest, table, trimmed
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Characters that are encoded in one call: bounds a worker's memory whatever the batch.
 CHUNK_CHARS = 400_000
 THREADS = 2
-#: Words whose ids a worker keeps (about 200 bytes each), and words that are encoded in one call.
-KEPT_WORDS, CHUNK_WORDS = 400_000, 10_000
+#: Words and bytes of words whose ids a worker keeps (about 200 bytes a word besides), and words that are encoded in one call.
+KEPT_WORDS, KEPT_BYTES, CHUNK_WORDS = 400_000, 16_000_000, 10_000
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -156,7 +157,6 @@ class Codec:
 
     def __init__(self, data: bytes, threads: int = THREADS):
         import sentencepiece
-        from tokenizers import Tokenizer
 
         # The thread pool of the tokenizers library reads these when it is first used.
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
@@ -164,57 +164,87 @@ class Codec:
         model = parse_model(data)
         self.tok, self.threads = rebuild(model), threads
         self.model = sentencepiece.SentencePieceProcessor(model_proto=data)
+        self.marked = np.array([p.startswith(MARK) for p, _, _ in model["pieces"]])
         self.bytes = np.array([kind == BYTE for _, _, kind in model["pieces"]])
-        self.raw = [bytes([int(p[1:-1], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in model["pieces"]]
-        # The model alone, for words that are normalised already.
-        self.core = Tokenizer(self.tok.model)
         # A line feed that is in no piece but its own parts words as well.
         inside = any("\n" in p and len(p) > 1 for p, _, kind in model["pieces"] if kind in (NORMAL, USER))
         self.by_word = words_are_apart(model) and model["dummy_prefix"] and not model["squeeze"] and not model["charsmap"] and not inside
         self.words = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
-        self.ids: dict[str, bytes] = {}
-        self.odd: set[str] = set()
+        self.forget()
 
     @classmethod
     def of(cls, data: bytes) -> Codec:
         key = hashlib.sha256(data).hexdigest()
         if key not in cls.kept:
+            cls.kept.clear()
             cls.kept[key] = cls(data)
+        KEPT["codec"] = cls.kept.clear
         return cls.kept[key]
 
+    def forget(self) -> None:
+        """ids of the words; those that the libraries encode differently; those that are not decoded to themselves; bytes of the words."""
+        self.ids: dict[str, bytes] = {}
+        self.odd: set[str] = set()
+        self.lossy: set[str] = set()
+        self.size = 0
+
     def _learn(self, words: list[str]) -> None:
-        """Encode words by both libraries and keep the ids; those that differ are odd."""
-        for k in range(0, len(words), CHUNK_WORDS):
-            some = words[k : k + CHUNK_WORDS]
-            got = [e.ids for e in self.core.encode_batch_fast(some, add_special_tokens=False)]
-            # The library sets a marker before its text: the word's own first one, or one that a line feed keeps off the word.
+        """Encode words by both libraries, decode them again and keep the ids; those that differ are odd.
+
+        A word is sent as a text that keeps it apart. Either library sets a marker before
+        a text: the word's own first one, or one that a line feed keeps off the word. The
+        line feed is an id of its own; what was added is cut from the ids.
+        """
+        simple = [w for w in words if len(w) > 1 and w[0] == MARK != w[1]]
+        rest = [w for w in words if not (len(w) > 1 and w[0] == MARK != w[1])]
+        for k in range(0, len(simple), CHUNK_WORDS):
+            if not self._learn_in_a_row(simple[k : k + CHUNK_WORDS]):
+                rest += simple[k : k + CHUNK_WORDS]
+        for k in range(0, len(rest), CHUNK_WORDS):
+            some = rest[k : k + CHUNK_WORDS]
             asked = [w[1:].replace(MARK, " ") + "\n" if w[0] == MARK else "\n" + w for w in some]
-            want = [ids[:-1] if w[0] == MARK else ids[2:] for w, ids in zip(some, self.model.encode(asked, num_threads=self.threads), strict=True)]
+            got = [e.ids for e in self.tok.encode_batch_fast(asked, add_special_tokens=False)]
+            want = self.model.encode(asked, num_threads=self.threads)
+            taken = [a if a == b else b for a, b in zip(got, want, strict=True)]
             self.odd.update(w for w, a, b in zip(some, got, want, strict=True) if a != b)
-            self.ids.update((w, struct.pack(f"<{len(x)}i", *x)) for w, x in zip(some, want, strict=True))
-
-    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
-        """ids of each text, and whether the rebuilt tokenizer gave the library's own ids."""
+            self.lossy.update(w for w, a, b in zip(some, asked, self.decode(taken), strict=True) if a != b)
+            self.ids.update((w, struct.pack(f"<{len(x) - 1 if w[0] == MARK else len(x) - 2}i", *(x[:-1] if w[0] == MARK else x[2:]))) for w, x in zip(some, taken, strict=True))
+            self.size += sum(map(len, some))
+
+    def _learn_in_a_row(self, words: list[str]) -> bool:
+        """Words with one marker, before them, as one text of both libraries; each begins at a piece with a marker. Nothing is kept if the ids differ, or do not give the text back."""
+        text = " ".join(w[1:] for w in words)
+        ids = self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        flat = np.asarray(ids, "<i4")
+        begin = np.flatnonzero(self.marked[flat])
+        if ids != self.model.encode(text) or len(begin) != len(words) or begin[0] or self.tok.decode(ids, skip_special_tokens=False) != text:
+            return False
+        raw, at = flat.tobytes(), [*(4 * begin).tolist(), 4 * len(flat)]
+        self.ids.update(zip(words, (raw[a:b] for a, b in zip(at, at[1:], strict=False)), strict=True))
+        self.size += len(text)
+        return True
+
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool], list[bool]]:
+        """ids of each text, whether the rebuilt tokenizer gave the library's own ids, and whether they decode to the text."""
         if not self.by_word:
             ids = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
             want = self.model.encode(texts, num_threads=self.threads)
-            return [np.asarray(x, "<i4") for x in want], [a == b for a, b in zip(ids, want, strict=True)]
+            same = [a == b for a, b in zip(ids, want, strict=True)]
+            taken = [a if x else b for a, b, x in zip(ids, want, same, strict=True)]
+            return [np.asarray(x, "<i4") for x in taken], same, [x == y for x, y in zip(self.decode(taken), texts, strict=True)]
         parts = [self.words.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.ids) > KEPT_WORDS:
-            self.ids.clear()
-            self.odd.clear()
+        if len(self.ids) > KEPT_WORDS or self.size > KEPT_BYTES:
+            self.forget()
         if new := set().union(*parts).difference(self.ids):
             self._learn(sorted(new))
         ids = [np.frombuffer(b"".join(map(self.ids.__getitem__, p)), "<i4") for p in parts]
-        return ids, [not self.odd or self.odd.isdisjoint(p) for p in parts]
+        same = [not self.odd or self.odd.isdisjoint(p) for p in parts]
+        # A marker in a text was taken for a space before the words were cut.
+        return ids, same, [MARK not in t and (not self.lossy or self.lossy.isdisjoint(p)) for t, p in zip(texts, parts, strict=True)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tok.decode_batch(ids, skip_special_tokens=False)
 
-    def spelled(self, ids: np.ndarray) -> str:
-        """The text of the ids by the pieces' own bytes, as the decoder puts them together."""
-        return b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
-
 
 def chunks(texts: list[str], most: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of at most so many characters, or one text."""
@@ -248,14 +278,13 @@ def encode(df: DataFrame, text_col: str = "text", model_path: str = MODEL_PATH,
             texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
             for a, b in chunks(texts):
                 own = texts[a:b]
-                ids, same = codec.encode(own)
-                back = [codec.spelled(x) for x in ids] if codec.by_word else codec.decode([x.tolist() for x in ids])
+                ids, same, back = codec.encode(own)
                 cols = {
                     "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
                     "n_byte_tokens": pa.array([int(codec.bytes[x].sum()) for x in ids], pa.int64()),
                     "ids_sha256": pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids], pa.string()),
                     "parity": pa.array(same, pa.bool_()),
-                    "round_trip": pa.array([x == y for x, y in zip(back, own, strict=True)], pa.bool_()),
+                    "round_trip": pa.array(back, pa.bool_()),
                 }
                 if with_text:
                     ends = np.cumsum([0, *map(len, ids)], dtype="<i4")
@@ -263,8 +292,9 @@ def encode(df: DataFrame, text_col: str = "text", model_path: str = MODEL_PATH,
                 kept = [batch.column(batch.schema.get_field_index(n)).slice(a, b - a) for n in names]
                 yield pa.RecordBatch.from_arrays([*kept, *cols.values()], [*names, *cols])
 
+    modest(df.sparkSession)
     src = df.select(*dict.fromkeys([*(f"`{n}`" for n in names), f"`{text_col}`"]))
-    return src.mapInArrow(trimmed(run), T.StructType([*carried, *made]))
+    return src.mapInArrow(trimmed(run, "codec"), T.StructType([*carried, *made]))
 
 
 def decode(df: DataFrame, ids_col: str = "ids", model_path: str = MODEL_PATH, out_col: str = "decoded") -> DataFrame:
@@ -281,7 +311,8 @@ def decode(df: DataFrame, ids_col: str = "ids", model_path: str = MODEL_PATH, ou
             made = pa.array([None if x is None else t for x, t in zip(ids, texts, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), made], [*names, out_col])
 
-    return df.select(*(f"`{n}`" for n in names)).mapInArrow(run, T.StructType([f for f in df.schema if f.name != out_col]).add(out_col, T.StringType()))
+    modest(df.sparkSession)
+    return df.select(*(f"`{n}`" for n in names)).mapInArrow(trimmed(run, "codec"), T.StructType([f for f in df.schema if f.name != out_col]).add(out_col, T.StringType()))
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
