@@ -42,11 +42,12 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     """A row for each page: id, host, path, rule (null if none fits), verdict.
 
     The shapes of the rules (labels of the host, length of the path) say which
-    expressions are worth making: at most 127 label counts by the path lengths in use.
+    expressions are worth making: one row with at most 127 label counts by the path
+    lengths in use, sent to the urls; none of it reaches the driver or the plan.
     """
     rules = rules.select("verdict", F.translate("rule_host", UPPER, LOWER).alias("rule_host"), "rule_path")
     rules = rules.select("*", F.concat("rule_host", "rule_path").alias("rule"), (F.length("rule_host") - F.length(F.translate("rule_host", ".", "")) + 1).alias("labels"), F.length("rule_path").alias("path_len"))
-    shapes = sorted((r.labels, r.path_len) for r in rules.select("labels", "path_len").distinct().collect())
+    shapes = rules.agg(F.sort_array(F.collect_set(F.struct("labels", "path_len"))).alias("_shapes"))
     hashed = rules.select(F.sha2("rule", 256).alias("r_digest"), "rule", "rule_host", F.col("verdict").alias("r_verdict"))
     hashed = hashed.withColumn("prefix", F.left("r_digest", F.lit(PREFIX_HEX)))
     if rules.count() <= BROADCAST_RULES:
@@ -57,9 +58,10 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     host, path = host_and_path(F.col("_url"))
     own = own.select("_id", "_url", "_n", host.alias("host"), path.alias("path"))
     labels = F.length("host") - F.length(F.translate("host", ".", "")) + 1
-    made = [F.when((labels >= k) & (F.length("path") >= n), F.concat(F.substring_index("host", ".", -k), F.left("path", F.lit(n)))) for k, n in shapes]
-    digests = F.transform(F.filter(F.array(*made), lambda x: x.isNotNull()), lambda x: F.sha2(x, 256)) if made else F.array().cast("array<string>")
-    asked = own.select("*", F.explode_outer(digests).alias("digest")).withColumn("prefix", F.left("digest", F.lit(PREFIX_HEX)))
+    own = own.crossJoin(F.broadcast(shapes))  # one row
+    able = F.filter("_shapes", lambda x: (x["labels"] <= labels) & (x["path_len"] <= F.length("path")))
+    digests = F.transform(able, lambda x: F.sha2(F.concat(F.call_function("substring_index", F.col("host"), F.lit("."), -x["labels"]), F.left(F.col("path"), x["path_len"])), 256))
+    asked = own.select("_id", "_url", "_n", "host", "path", F.explode_outer(digests).alias("digest")).withColumn("prefix", F.left("digest", F.lit(PREFIX_HEX)))
     met = asked.join(hashed, "prefix", "left")
     fits = F.when(F.col("digest") == F.col("r_digest"), F.struct(F.length("rule").alias("n"), F.length("rule_host").alias("h"), F.col("r_verdict").alias("verdict"), F.col("rule").alias("rule")))
     best = met.groupBy("_id", "_url", "_n", "host", "path").agg(F.max(fits).alias("best"))
