@@ -39,3 +39,27 @@ def test_shingles_do_not_cross_texts():
     each = list(ngram_join.shingles([b"a b c d e f", b"", b"a b", b"b c d e f", b"A  B"], 5))
     assert [len(x) for x in each] == [2, 0, 1, 1, 1]
     assert each[0][1] == each[3][0] and each[2][0] == each[4][0]
+
+
+def test_workers_drop_what_others_kept(spark):
+    """A map finds nothing that a map of another name has kept in its worker."""
+    import pyarrow as pa
+
+    from weftline.llm import common
+
+    def keeps(batches):
+        from weftline.llm import common
+
+        for b in batches:
+            common.KEPT["mine"] = lambda: None
+            yield pa.RecordBatch.from_arrays([pa.array([len(common.KEPT)] * b.num_rows, pa.int64())], ["n"])
+
+    def finds(batches):
+        from weftline.llm import common
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(common.KEPT)] * b.num_rows, pa.int64())], ["n"])
+
+    rows = spark.range(8).repartition(4)
+    assert {r.n for r in rows.mapInArrow(common.trimmed(keeps, "mine"), "n bigint").collect()} == {1}
+    assert {r.n for r in rows.mapInArrow(common.trimmed(finds, "other"), "n bigint").collect()} == {0}

@@ -95,11 +95,9 @@ def join_one(many: DataFrame, one: DataFrame, key: str, count: str, total: int,
     hot = F.col(count) > max(HOT_LEAST, total // HOT_SHARE)
     heavy, rest = one.where(hot), one.where(~hot)
     here = F.broadcast(heavy)
-    inner = many.join(here, key).unionByName(many.join(rest, key))
-    if how == "inner":
-        return inner
+    # The hot rows are taken out before the shuffle, which else would gather those of a key in one task.
     light = many.join(F.broadcast(heavy.select(key)), key, "left_anti")
-    return many.join(here, key).unionByName(light.join(rest, key, "left"))
+    return many.join(here, key).unionByName(light.join(rest, key, how))
 
 
 #: Records of a batch that goes to a Python worker and back; Spark's own default makes batches of whole texts large in both processes.
@@ -117,6 +115,12 @@ def modest(spark: SparkSession) -> None:
 KEPT: dict[str, Callable[[], None]] = {}
 
 
+def drop_kept(keep: str) -> None:
+    """Drop what other operators have kept. (A function of this module, so a worker runs it on its own KEPT; a nested function would bring a copy of the driver's.)"""
+    for name in [n for n in KEPT if n != keep]:
+        KEPT.pop(name)()
+
+
 def lean() -> None:
     """Have the C library return large blocks at once and keep few arenas; without effect where it knows no such settings."""
     try:
@@ -137,8 +141,7 @@ def trimmed(run: Callable[[Iterator], Iterator], keep: str = "") -> Callable[[It
     def whole(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for name in [n for n in KEPT if n != keep]:
-            KEPT.pop(name)()
+        drop_kept(keep)
         lean()
         yield from run(batches)
         pa.default_memory_pool().release_unused()
