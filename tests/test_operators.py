@@ -76,6 +76,42 @@ def test_bulk_update_and_returns(spark):
     assert {r[1] for r in rows(mutations.bulk_update(base, keys, "k", {"s": F.lit("x")}))} == {"x"}
 
 
+@pytest.mark.parametrize(
+    "conf",
+    [
+        {},
+        {"autoBroadcastJoinThreshold": "-1", "adaptive.autoBroadcastJoinThreshold": "10MB", "adaptive.coalescePartitions.enabled": "false"},  # the join of the stock turns out small when it runs
+        {"autoBroadcastJoinThreshold": "-1", "adaptive.advisoryPartitionSizeInBytes": "1KB", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "1KB", "adaptive.skewJoin.skewedPartitionFactor": "1.0"},  # large keys are split
+    ],
+    ids=["plain", "small when run", "split"],
+)
+def test_place_orders_keeps_keys_whole(spark, conf):
+    stock = spark.createDataFrame([("a", 40), ("b", 400), ("n", None)] + [(f"s{k}", 9) for k in range(20)], "k string, copies int")
+    made = [(s, "z" if s % 101 == 0 else "n" if s % 103 == 0 else f"s{s % 20}" if s % 10 == 0 else "b" if s % 9 == 0 else "a", None if s % 97 == 0 else s * 7 % 12 - 1) for s in range(4000)]
+    held = {r.k: r.copies for r in stock.collect()}
+    want = []
+    for s, k, q in made:
+        if held.get(k) is None:
+            want.append((k, s, 404))
+        elif q is None or q <= 0:
+            want.append((k, s, 400))
+        elif q <= held[k]:
+            held[k] -= q
+            want.append((k, s, 201))
+        else:
+            want.append((k, s, 409))
+    assert {r[2] for r in want} == {201, 400, 404, 409}
+    orders = spark.createDataFrame(made, "seq int, k string, q int").repartition(8, "seq")  # each key's rows come from several tasks
+    for name, value in conf.items():
+        spark.conf.set(f"spark.sql.{name}", value)
+    try:
+        got = rows(mutations.place_orders(stock, orders, "k", "seq", "q", "copies"), "k", "seq", "outcome")
+    finally:
+        for name in conf:
+            spark.conf.unset(f"spark.sql.{name}")
+    assert sorted(got) == sorted(want)
+
+
 def test_idempotency_first_success(spark):
     log = spark.createDataFrame([("k", 1, 500), ("k", 2, 201), ("k", 3, 200), ("n", 4, 404)], "key string, seq int, status int")
     assert rows(mutations.first_success(log, ["key"], "seq", "status")) == [("k", 2, 201)]

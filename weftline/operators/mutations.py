@@ -70,17 +70,20 @@ def place_orders(stock: DataFrame, orders: DataFrame, key: str, seq: str, qty: s
     """MU6: key, seq, outcome of orders in turn: 201 while the stock left suffices (and is taken), else 409 (and nothing is taken); 404 for an unknown key, 400 without a positive quantity.
 
     Whether an order is met depends on all before it of its key, so the rows come sorted
-    by key and number and a task holds one stock at a time.
+    by key and number and a task holds one stock at a time. A window sees to that, as Spark
+    must keep its keys whole. A repartition does not: it is dropped above a shuffled join by
+    the same key, which adaptive execution may then broadcast or split, so that a key's rows
+    lie in several tasks.
     """
     rows = orders.join(stock.select(key, copies), key, "left").select(F.col(key).alias("k"), F.col(seq).alias("s"), F.col(qty).cast("double").alias("q"), F.col(copies).cast("double").alias("c"))
 
     def run(batches):
-        name, left = None, None
+        left = None
         for pdf in batches:
             out = []
-            for k, s, q, c in pdf.itertuples(index=False):
-                if k != name or left is None:
-                    name, left = k, c
+            for _, _, q, c, first in pdf.itertuples(index=False):
+                if first:
+                    left = c
                 if c != c or c is None:
                     out.append(404)
                 elif not q > 0:
@@ -93,7 +96,8 @@ def place_orders(stock: DataFrame, orders: DataFrame, key: str, seq: str, qty: s
             yield pdf.assign(outcome=out)[["k", "s", "outcome"]]
 
     types = dict(rows.dtypes)
-    done = rows.repartition("k").sortWithinPartitions("k", "s").mapInPandas(run, f"k {types['k']}, s {types['s']}, outcome int")
+    whole = rows.withColumn("first", F.row_number().over(Window.partitionBy("k").orderBy("s")) == 1)
+    done = whole.mapInPandas(run, f"k {types['k']}, s {types['s']}, outcome int")
     return done.select(F.col("k").alias(key), F.col("s").alias(seq), "outcome")
 
 
